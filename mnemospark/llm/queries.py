@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat, rules, sharding, simhash, urls
+from mnemospark.llm import chat, packing, rules, sharding, simhash, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,24 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from j w
 """  # noqa: S608
 
 
+def tokenizer_path() -> str:
+    """The public word-level vocabulary file; it is read where it is and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 ids."""
+    out = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=2048, end_id=0)
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids, written in containers and read back."""
+    return tokenbin.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of three-word shingles, linked at three bits or fewer."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=3)
@@ -87,7 +105,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_rules, op4_url_filter, op8_simhash, op10_chat)}
+    return {f.__name__: f for f in (op2_sharding, op3_rules, op4_url_filter, op6_packing, op7_tokens, op8_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
