@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat, packing, rules, sharding, simhash, tokenbin, urls
+from mnemospark.llm import chat, decontam, gam, packing, rules, sharding, simhash, tokenbin, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item in tiles of five words or more."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards whose row counts are at most one apart."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
@@ -72,6 +77,13 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from j w
 """  # noqa: S608
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of all documents; labels of fold 0 of 5 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = gam.score(docs, gam.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", gam.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def tokenizer_path() -> str:
     """The public word-level vocabulary file; it is read where it is and never copied."""
     import public_tokenizers
@@ -105,7 +117,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_sharding, op3_rules, op4_url_filter, op6_packing, op7_tokens, op8_simhash, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_rules, op4_url_filter, op5_quality, op6_packing, op7_tokens, op8_simhash, op10_chat)}
 
 
 def oracle_sql() -> dict[str, str]:
