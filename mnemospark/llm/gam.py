@@ -164,13 +164,15 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds: i
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, use: Column, rows: int, chars: int) -> list[tuple[object, str, int]]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, use: Column, rows: int, chars: int, ones: float | None = None) -> list[tuple[object, str, int]]:
     """At most `rows` labelled documents (id, first chars of the text, label), chosen by a hash of the id.
 
-    use is a condition on `doc_id` in the labels. The ids are few by `rows`, so they may be broadcast.
+    ones is the share of the rows kept for label 1, by default as many as there are. use is a condition on `doc_id`. The ids are few by `rows`, so they may be broadcast.
     """
     picked = labels.select(F.col("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null").where(use)
-    picked = picked.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    picked = picked.groupBy("doc_id").agg(F.max("label").alias("label"))
+    first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    picked = first(picked, rows) if ones is None else first(picked.where("label = 1"), int(rows * ones)).unionByName(first(picked.where("label <> 1"), rows - int(rows * ones)))
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "doc_id")
     found = found.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"), "label").dropDuplicates(["doc_id"]).limit(rows)
     return [(r.doc_id, r.text, int(r.label)) for r in found.collect()]
