@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import chat, decontam, gam, packing, rules, sharding, simhash, tokenbin, urls
+from mnemospark.llm import chat, decontam, gam, packing, rules, sharding, simhash, tokenbin, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -108,6 +108,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of all documents; labels of fold 1 of 3 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return out.select("doc_id", gam.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7 in budgeted windows, read back from the formatted text."""
     said = "\\### Assistant: </turn> ok"
@@ -116,8 +123,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_rules, op4_url_filter, op5_quality, op6_packing, op7_tokens, op8_simhash, op10_chat)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_sharding, op3_rules, op4_url_filter, op5_quality, op6_packing, op7_tokens, op8_simhash, op9_toxicity, op10_chat, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
