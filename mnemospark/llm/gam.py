@@ -202,4 +202,4 @@ def score(docs: DataFrame, model: Gam, text_col: str = "text", keep: list[str] |
 def good(docs: DataFrame, labels: DataFrame, text_col: str = "text", least: float = 0.3) -> DataFrame:
     """The documents that score at least `least`, with the columns of docs."""
     name = spare(docs, "score")
-    return score(docs, train(docs, labels, text_col=text_col), text_col, name=name).where(F.col(name) >= least).drop(name)
+    return score(docs, train(docs, labels, text_col=text_col), text_col, name=name).where(F.col(name) >= least).select(*docs.columns)
