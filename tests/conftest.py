@@ -16,7 +16,7 @@ def spark(tmp_path_factory):
 
     root = tmp_path_factory.mktemp("spark")
     conf = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{root}/shared", "spark.sql.warehouse.dir": f"{root}/warehouse", "spark.ui.showConsoleProgress": "false", "spark.driver.extraJavaOptions": f"-Dderby.system.home={root}"}
-    made = session("local[3]", "tests", **conf)
+    made = session("local[4]", "tests", **conf)
     made.sparkContext.setLogLevel("ERROR")
     yield made
     made.stop()
