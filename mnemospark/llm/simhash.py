@@ -30,6 +30,8 @@ BLOCKS = 4
 SPLIT_ROWS = 32_768
 FAN = 8
 PAIRS_AT_ONCE = 1 << 15
+#: Keys of at most this many rows are broadcast to pick rows with texts; more are joined by shuffling.
+BROADCAST_KEYS = 500_000
 _LANES = np.uint64(0x0101010101010101)
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -202,60 +204,94 @@ def block_masks(level: int) -> list[int]:
     return masks
 
 
+#: Columns of a row of the index: its node and fingerprint word, and a tag of salt * PATHS + path.
+PATHS = BLOCKS**5
+ROW = "node bigint, word bigint, tag int"
+
+
 def _dealt(rows: DataFrame, level: int) -> DataFrame:
-    """Rows (node, salt, word, path) once for each of the four blocks below their path, with their bucket."""
+    """Rows (node, word, tag) once for each of the four blocks below their path, with their bucket.
+
+    A bucket of the first level is its tag and the 16 bits of the block; deeper ones are hashed.
+    """
     masks = F.array(*[F.lit(_signed(m)) for m in block_masks(level)])
-    out = rows.select("node", "salt", "word", F.explode(F.array(*[F.col("path") * BLOCKS + i for i in range(BLOCKS)])).alias("path"))
-    return out.withColumn("bucket", F.xxhash64("salt", "path", F.col("word").bitwiseAND(F.element_at(masks, F.col("path").cast("int") + 1))))
+    path = F.col("tag") % PATHS
+    tags = F.array(*[(F.col("tag") - path + path * BLOCKS + i).cast("int") for i in range(BLOCKS)])
+    out = rows.select("node", "word", F.explode(tags).alias("tag"))
+    same = F.col("word").bitwiseAND(F.element_at(masks, F.col("tag") % PATHS + 1))
+    if level > 1:
+        return out.withColumn("bucket", F.xxhash64("tag", same))
+    value = F.call_function("shiftrightunsigned", same, (F.col("tag") % PATHS * (BITS // BLOCKS)).cast("int"))
+    return out.withColumn("bucket", F.col("tag").cast("long") * (1 << (BITS // BLOCKS)) + value)
 
 
-def _search(rows: DataFrame, radii: tuple[int, ...]) -> DataFrame:
-    """Pairs of nodes (a, b) found inside the buckets; a task holds a batch and the bucket that it ends in."""
+def _search(rows: DataFrame, radii: tuple[int, ...], most: int) -> DataFrame:
+    """Pairs of nodes (a, b) found inside the buckets; rows of buckets above `most` come back to be dealt again.
+
+    A task holds a batch and at most `most` rows of the bucket that it ends in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, dtype=np.int64)] * 3
+        held, large = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32)], None
+
+        def pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(left), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), none, none, pa.nulls(len(left), pa.int32())], names=["a", "b", "node", "word", "tag"])
+
+        def again(parts: list[np.ndarray]) -> pa.RecordBatch:
+            none = pa.nulls(len(parts[0]), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(parts[2]), pa.array(parts[1]), pa.array(parts[3])], names=["a", "b", "node", "word", "tag"])
 
         def found(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            bucket, word, node = parts
-            left, right = linked_pairs(bucket, word.view(np.uint64), radii)
+            size = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(parts[0]) != 0])), [len(parts[0])]]))
+            over = np.repeat(size > most, size)
+            if over.any():
+                yield again([x[over] for x in parts])
+                parts = [x[~over] for x in parts]
+            left, right = linked_pairs(parts[0], parts[1].view(np.uint64), radii)
             if len(left):
-                yield pa.RecordBatch.from_arrays([pa.array(node[left]), pa.array(node[right])], names=["a", "b"])
+                yield pairs(parts[2][left], parts[2][right])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if large is not None:
+                same = int(np.searchsorted(new[0] != large, True))
+                if same:
+                    yield again([x[:same] for x in new])
+                    new = [x[same:] for x in new]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) and held[0][-1] != held[0][0]:
                 cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1
                 yield from found([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
+            if len(held[0]) > most:
+                large = held[0][0]
+                yield again(held)
+                held = [x[:0] for x in held]
         if len(held[0]):
             yield from found(held)
 
-    return rows.select("bucket", "word", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("bucket", "word", "node", "tag").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"a bigint, b bigint, {ROW}")
 
 
 def near_pairs(nodes: DataFrame, radii: tuple[int, ...] = (3,), split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """Joining pairs (a, b) of rows (node, salt, word): words of one salt within radii[-1] bits.
+    """Joining pairs (a, b) of rows (node, salt, word): words of one salt within radii[-1] bits, as a written table.
 
     Exact for radius 3 or less. With a larger radius it finds the pairs that share a block as well.
     """
-    todo, out, level = nodes.withColumn("path", F.lit(0).cast("long")), None, 1
-    while True:
-        dealt = _dealt(todo, level)
-        hot = None
-        if level < 5:
-            hot = written(dealt.groupBy("bucket").count().where(F.col("count") > split_rows).select("bucket"), f"hot{level}")
-            hot = None if hot.isEmpty() else hot
-        pairs = _search(dealt if hot is None else dealt.join(hot, "bucket", "left_anti"), radii)
+    todo, out = nodes.select("node", "word", (F.col("salt") * PATHS).cast("int").alias("tag")), None
+    for level in range(1, 6):
+        found = written(_search(_dealt(todo, level), radii, split_rows if level < 5 else 1 << 62), f"found{level}")
+        pairs = found.where("node is null").select("a", "b")
         out = pairs if out is None else out.unionByName(pairs)
-        if hot is None:
-            return out
-        todo = written(dealt.join(hot, "bucket", "left_semi").drop("bucket"), f"again{level}")
-        level += 1
+        todo = found.where("node is not null").select("node", "word", "tag")
+        if todo.isEmpty():
+            break
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of edges (a, b); root is the smallest node that it is connected to.
+    """(node, root) of the nodes of edges (a, b) that are connected to a smaller one; root is the smallest.
 
     Alternates large and small stars, which halve the height of every tree; each round is a written table.
     """
@@ -324,13 +360,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
     prints = written(fingerprints(keyed, "text", [id_col, "text_key"], width, words), "prints")
-    kinds = written(prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp")), "kinds")
-    nodes = kinds.select(F.col("text_key").alias("node"), F.posexplode("fp").alias("salt", "word"))
+    kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"))
+    kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
+    nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))
     pairs = near_pairs(nodes, radii)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_key")).distinct()
-    texts = written(keyed.join(ends, "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text")), "texts")
-    sides = pairs.join(texts.select(F.col("text_key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("text_key").alias("b"), F.col("text").alias("text_b")), "b")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = small(written(kinds.join(ends, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id"), "ends"))
+    here = (keyed.text_key == ends.key) & keyed[id_col].eqNullSafe(ends.first_id)
+    texts = written(keyed.join(ends, here).select("node", "text"), "texts")
+    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,11 +379,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     links = sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
     roots = components(links)
-    of = written(kinds.select("text_key", "first_id").join(roots, kinds.text_key == roots.node, "left").select("text_key", "first_id", F.coalesce("root", "text_key").alias("root")), "roots")
+    of = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
     named = of.groupBy("root").agg(F.min("first_id").alias("component"))
     return prints.select(id_col, "text_key").join(of.join(named, "root").select("text_key", "component"), "text_key").select(id_col, "text_key", "component")
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """keys, marked to be broadcast if they are few; keys must be a written table."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _text_key(text_col: str) -> Column:
     """A 64-bit key of the words of a text, lower-cased."""
     lowered = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -360,6 +404,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns, key, ident = docs.columns, spare(docs, "text_key"), spare(docs, "kept_id")
     groups = written(similar_groups(docs, id_col, text_col, **how), "groups").where(F.col(id_col).isNotNull())
     gone = groups.where(F.col(id_col) != F.col("component")).select(F.col(id_col).alias(ident), F.col("text_key").alias(key)).distinct()
+    gone = small(written(gone, "gone"))
     twice = groups.groupBy(F.col(id_col).alias(ident), F.col("text_key").alias(key)).count().where("count > 1").drop("count")
     keyed = docs.withColumn(key, _text_key(text_col)).withColumn(ident, F.col(id_col))
     kept = keyed.join(gone, [ident, key], "left_anti")
