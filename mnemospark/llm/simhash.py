@@ -14,7 +14,7 @@ with 15 open bits cannot hold more than 32,768 different words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -30,6 +30,8 @@ BLOCKS = 4
 SPLIT_ROWS = 32_768
 FAN = 8
 PAIRS_AT_ONCE = 1 << 15
+#: Candidates of a word in a bucket when it is searched again for the first time.
+FIRST_LIMIT = 4
 #: Keys of at most this many rows are broadcast to pick rows with texts; more are joined by shuffling.
 BROADCAST_KEYS = 500_000
 _LANES = np.uint64(0x0101010101010101)
@@ -134,36 +136,37 @@ class _Forest:
                 self.root = up
 
 
-def linked_pairs(bucket: np.ndarray, words: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the pairs that join all words of a bucket that are within radii[-1] bits of each other.
-
-    Searches by growing radius; nodes whose words are already in one component are pruned too, so a
-    bucket of n near copies yields n - 1 pairs, the nearest ones first.
-    """
-    order = np.lexsort((gray_rank(words), bucket))
-    group, words = bucket[order], words[order]
-    _, group = np.unique(group, return_inverse=True)
-    groups = int(group[-1]) + 1 if len(group) else 0
-    both, either, of, child = [words], [words], [group], [np.empty(0, dtype=np.int64)]
-    while len(of[-1]) > groups:
-        begins = np.flatnonzero(np.concatenate([[True], np.diff(of[-1]) > 0]))
-        place = np.arange(len(of[-1])) - begins[of[-1]]
-        starts = np.flatnonzero(place % FAN == 0)
-        both.append(np.bitwise_and.reduceat(both[-1], starts))
-        either.append(np.bitwise_or.reduceat(either[-1], starts))
-        of.append(of[-1][starts])
-        child.append(np.concatenate([starts, [len(place)]]))
-    shared = [~(x ^ y) for x, y in zip(both, either, strict=True)]
-    top, forest = len(of) - 1, _Forest(len(words))
-    if top == 0:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    for radius in radii:
-        least, most = [forest.root], [forest.root]
+class _Index:
+    """The words of some buckets in Gray order, and the bits that all words below each upper node share."""
+
+    def __init__(self, bucket: np.ndarray, words: np.ndarray) -> None:
+        self.order = np.lexsort((gray_rank(words), bucket))
+        group, words = bucket[self.order], words[self.order]
+        _, group = np.unique(group, return_inverse=True)
+        self.groups = int(group[-1]) + 1 if len(group) else 0
+        self.both, either, of, self.child = [words], [words], [group], [np.empty(0, dtype=np.int64)]
+        while len(of[-1]) > self.groups:
+            begins = np.flatnonzero(np.concatenate([[True], np.diff(of[-1]) > 0]))
+            place = np.arange(len(of[-1])) - begins[of[-1]]
+            starts = np.flatnonzero(place % FAN == 0)
+            self.both.append(np.bitwise_and.reduceat(self.both[-1], starts))
+            either.append(np.bitwise_or.reduceat(either[-1], starts))
+            of.append(of[-1][starts])
+            self.child.append(np.concatenate([starts, [len(place)]]))
+        self.shared = [~(x ^ y) for x, y in zip(self.both, either, strict=True)]
+        self.top = len(of) - 1
+
+    def near(self, radius: int, root: np.ndarray, first: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places of words within radius and their differing bits. Nodes below one root are pruned (in the first search, words only)."""
+        if self.top == 0:
+            return
+        both, shared, child = self.both, self.shared, self.child
+        least, most = [root], [root]
         for starts in child[1:]:
             least.append(np.minimum.reduceat(least[-1], starts[:-1]))
             most.append(np.maximum.reduceat(most[-1], starts[:-1]))
-        every = np.arange(groups)
-        stack = [(top, every[i : i + PAIRS_AT_ONCE], every[i : i + PAIRS_AT_ONCE]) for i in range(0, groups, PAIRS_AT_ONCE)]
+        every = np.arange(self.groups)
+        stack = [(self.top, every[i : i + PAIRS_AT_ONCE], every[i : i + PAIRS_AT_ONCE]) for i in range(0, self.groups, PAIRS_AT_ONCE)]
         while stack:
             level, a, b = stack.pop()
             starts, below = child[level], level - 1
@@ -176,15 +179,67 @@ def linked_pairs(bucket: np.ndarray, words: np.ndarray, radii: tuple[int, ...])
             ca, cb = ca[good], cb[good]
             differ = np.bitwise_count((both[below][ca] ^ both[below][cb]) & shared[below][ca] & shared[below][cb])
             low, high = np.minimum(least[below][ca], least[below][cb]), np.maximum(most[below][ca], most[below][cb])
-            good = (differ <= radius) & ((low != high) if radius != radii[0] or below == 0 else True)
+            good = (differ <= radius) & ((low != high) if not first or below == 0 else True)
             ca, cb = ca[good], cb[good]
             if below == 0:
-                forest.join(ca, cb)
+                yield ca, cb, differ[good]
             else:
                 stack += [(below, ca[i : i + PAIRS_AT_ONCE], cb[i : i + PAIRS_AT_ONCE]) for i in range(0, len(ca), PAIRS_AT_ONCE)]
+
+
+def forest_pairs(bucket: np.ndarray, words: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of pairs as in linked_pairs, and of the words in components of three and more.
+
+    Any pair within radii[-1] that is not among the pairs has both its words in such a component.
+    """
+    index, forest = _Index(bucket, words), _Forest(len(words))
+    for radius in radii:
+        for a, b, _ in index.near(radius, forest.root, radius == radii[0]):
+            forest.join(a, b)
     if not forest.left:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    return order[np.concatenate(forest.left)], order[np.concatenate(forest.right)]
+        return (np.empty(0, dtype=np.int64),) * 3
+    crowded = np.bincount(forest.root, minlength=len(words))[forest.root] > 2
+    return index.order[np.concatenate(forest.left)], index.order[np.concatenate(forest.right)], index.order[crowded]
+
+
+def linked_pairs(bucket: np.ndarray, words: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs that join all words of a bucket that are within radii[-1] bits of each other.
+
+    Searches by growing radius; nodes whose words are already in one component are pruned too, so a
+    bucket of n near copies yields n - 1 pairs, the nearest ones first.
+    """
+    return forest_pairs(bucket, words, radii)[:2]
+
+
+def _turns(at: np.ndarray) -> np.ndarray:
+    """How often each value stood in `at` before."""
+    order = np.argsort(at, kind="stable")
+    begins = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+    out = np.empty(len(at), dtype=np.int64)
+    out[order] = np.arange(len(at)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(at)]])))
+    return out
+
+
+def apart_pairs(bucket: np.ndarray, words: np.ndarray, roots: np.ndarray, radii: tuple[int, ...], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+    """Positions of the pairs within radii[-1] bits whose words have different roots, by growing radius.
+
+    A pair is held back if both words already had `limit` pairs. At last come the positions of the words held back.
+    """
+    index, had, held, done = _Index(bucket, words), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool), -1
+    root = roots[index.order]
+    for radius in radii:
+        for a, b, differ in index.near(radius, root):
+            new = differ.astype(np.int64) > done
+            a, b = a[new], b[new]
+            if not len(a):
+                continue
+            good = (had[a] + _turns(a) < limit) | (had[b] + _turns(b) < limit)
+            held[a[~good]] = held[b[~good]] = True
+            a, b = a[good], b[good]
+            had += np.bincount(a, minlength=len(had)) + np.bincount(b, minlength=len(had))
+            yield index.order[a], index.order[b]
+        done = radius
+    yield index.order[held]
 
 
 def _signed(value: int) -> int:
@@ -225,39 +280,47 @@ def _dealt(rows: DataFrame, level: int) -> DataFrame:
     return out.withColumn("bucket", F.col("tag").cast("long") * (1 << (BITS // BLOCKS)) + value)
 
 
-def _search(rows: DataFrame, radii: tuple[int, ...], most: int) -> DataFrame:
-    """Pairs of nodes (a, b) found inside the buckets; rows of buckets above `most` come back to be dealt again.
+Find = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]]
+
 
+def _search(rows: DataFrame, find: Find, most: int, tag: str = "int") -> DataFrame:
+    """Pairs of nodes (a, b) that find(bucket, word, tag) yields, and the rows that come back to be searched again.
+
+    Those are the rows of buckets above `most` (large), and the rows that find yields the positions of (not large).
     A task holds a batch and at most `most` rows of the bucket that it ends in.
     """
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32() if tag == "int" else pa.int64()]
+    names = ["a", "b", "bucket", "word", "node", "tag", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = [np.empty(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.int32)], None
+        held, large = [np.empty(0, dtype=t.to_pandas_dtype()) for t in types], None
 
         def pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
-            none = pa.nulls(len(left), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), none, none, pa.nulls(len(left), pa.int32())], names=["a", "b", "node", "word", "tag"])
+            return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), *(pa.nulls(len(left), t) for t in [*types, pa.bool_()])], names=names)
 
-        def again(parts: list[np.ndarray]) -> pa.RecordBatch:
-            none = pa.nulls(len(parts[0]), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(parts[2]), pa.array(parts[1]), pa.array(parts[3])], names=["a", "b", "node", "word", "tag"])
+        def again(parts: list[np.ndarray], large: bool) -> pa.RecordBatch:
+            none, size = pa.nulls(len(parts[0]), pa.int64()), len(parts[0])
+            return pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in parts), pa.array(np.full(size, large))], names=names)
 
         def found(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             size = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(parts[0]) != 0])), [len(parts[0])]]))
             over = np.repeat(size > most, size)
             if over.any():
-                yield again([x[over] for x in parts])
+                yield again([x[over] for x in parts], True)
                 parts = [x[~over] for x in parts]
-            left, right = linked_pairs(parts[0], parts[1].view(np.uint64), radii)
-            if len(left):
-                yield pairs(parts[2][left], parts[2][right])
+            for made in find(parts[0], parts[1].view(np.uint64), parts[3]):
+                if not isinstance(made, tuple):
+                    if len(made):
+                        yield again([x[made] for x in parts], False)
+                elif len(made[0]):
+                    yield pairs(parts[2][made[0]], parts[2][made[1]])
 
         for batch in batches:
             new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             if large is not None:
                 same = int(np.searchsorted(new[0] != large, True))
                 if same:
-                    yield again([x[:same] for x in new])
+                    yield again([x[:same] for x in new], True)
                     new = [x[same:] for x in new]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             if len(held[0]) and held[0][-1] != held[0][0]:
@@ -266,22 +329,24 @@ def _search(rows: DataFrame, radii: tuple[int, ...], most: int) -> DataFrame:
                 held = [x[cut:] for x in held]
             if len(held[0]) > most:
                 large = held[0][0]
-                yield again(held)
+                yield again(held, True)
                 held = [x[:0] for x in held]
         if len(held[0]):
             yield from found(held)
 
-    return rows.select("bucket", "word", "node", "tag").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"a bigint, b bigint, {ROW}")
+    out = f"a bigint, b bigint, bucket bigint, word bigint, node bigint, tag {tag}, large boolean"
+    return rows.select("bucket", "word", "node", "tag").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
 
 
 def near_pairs(nodes: DataFrame, radii: tuple[int, ...] = (3,), split_rows: int = SPLIT_ROWS) -> DataFrame:
     """Joining pairs (a, b) of rows (node, salt, word): words of one salt within radii[-1] bits, as a written table.
 
-    Exact for radius 3 or less. With a larger radius it finds the pairs that share a block as well.
+    Exact for radius 3 or less, and meant for it: a wider radius may lose pairs of buckets that are dealt again.
     """
     todo, out = nodes.select("node", "word", (F.col("salt") * PATHS).cast("int").alias("tag")), None
+    find = lambda bucket, words, _: iter([linked_pairs(bucket, words, radii)])
     for level in range(1, 6):
-        found = written(_search(_dealt(todo, level), radii, split_rows if level < 5 else 1 << 62), f"found{level}")
+        found = written(_search(_dealt(todo, level), find, split_rows if level < 5 else 1 << 62), f"found{level}")
         pairs = found.where("node is null").select("a", "b")
         out = pairs if out is None else out.unionByName(pairs)
         todo = found.where("node is not null").select("node", "word", "tag")
@@ -290,6 +355,41 @@ def near_pairs(nodes: DataFrame, radii: tuple[int, ...] = (3,), split_rows: int
     return out
 
 
+def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], limit: int = FIRST_LIMIT) -> DataFrame:
+    """components of the links that `verify` leaves of candidates (a, b): words of one salt that share a block and are within radii[-1] bits.
+
+    The first candidates join the words of each bucket. Words of components of three and more are then searched
+    again for candidates between different components of verified links, at most `limit` a word and four times as
+    many each time, until none is held back: any candidate is verified or has both ends in one component.
+    """
+
+    def join(bucket: np.ndarray, words: np.ndarray, _: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+        left, right, crowded = forest_pairs(bucket, words, radii)
+        yield left, right
+        yield crowded
+
+    rows = _dealt(nodes.select("node", "word", (F.col("salt") * PATHS).cast("int").alias("tag")), 1).withColumn("tag", F.lit(0).cast("bigint"))
+    found = written(_search(rows, join, 1 << 62, "bigint"), "found0")
+    roots = checked = None
+    while True:
+        pairs = found.where("node is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        if checked is not None:
+            pairs = pairs.join(checked, ["a", "b"], "left_anti")
+        pairs = written(pairs, "candidates")
+        checked = pairs if checked is None else checked.unionByName(pairs)
+        links = verify(pairs)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        rest = found.where("node is not null").select("bucket", "word", "node")
+        if rest.isEmpty():
+            return roots
+        rows = rest.join(roots, "node", "left").select("bucket", "word", "node", F.coalesce("root", "node").alias("tag"))
+        apart = lambda bucket, words, root, limit=limit: apart_pairs(bucket, words, root, radii, limit)
+        found = written(_search(rows, apart, 1 << 62, "bigint"), "found")
+        limit *= 4
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of edges (a, b) that are connected to a smaller one; root is the smallest.
 
@@ -353,9 +453,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, text_key, component) per document: groups joined by links of at least `similarity`.
 
     Each document gets `words` independent fingerprint words over `width`-word shingles. Pairs that share a block
-    of a word and lie within radii[-1] bits of it are candidates (0.99 of the pairs at similarity 0.8, more above),
-    joined nearest first; a candidate becomes a link if the exact similarity of the whole texts reaches
-    `similarity`. Texts with the same words are one candidate. component is the smallest id of the group (null if
+    of a word and lie within radii[-1] bits of it are candidates (0.99 of the pairs at similarity 0.8, more above);
+    a candidate becomes a link if the exact similarity of the whole texts reaches `similarity`. Only candidates
+    whose ends are already joined by links go unverified. Texts with the same words are one candidate. component is the smallest id of the group (null if
     all its ids are null). Repeated rows stay; null and empty texts form one group.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
@@ -363,13 +463,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"))
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
     nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))
-    pairs = near_pairs(nodes, radii)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = small(written(kinds.join(ends, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id"), "ends"))
-    here = (keyed.text_key == ends.key) & keyed[id_col].eqNullSafe(ends.first_id)
-    texts = written(keyed.join(ends, here).select("node", "text"), "texts")
-    sides = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    texts: list[DataFrame] = []
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,8 +471,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             good = np.array([jaccard(x, y, width) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    links = sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
-    roots = components(links)
+    def verify(pairs: DataFrame) -> DataFrame:
+        if not texts:  # later candidates have no other ends
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            ends = small(written(kinds.join(ends, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id"), "ends"))
+            here = (keyed.text_key == ends.key) & keyed[id_col].eqNullSafe(ends.first_id)
+            texts.append(written(keyed.join(ends, here).select("node", "text"), "texts"))
+        sides = pairs.join(texts[0].select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts[0].select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+
+    roots = verified_roots(nodes, verify, radii)
     of = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
     named = of.groupBy("root").agg(F.min("first_id").alias("component"))
     return prints.select(id_col, "text_key").join(of.join(named, "root").select("text_key", "component"), "text_key").select(id_col, "text_key", "component")

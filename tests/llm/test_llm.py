@@ -399,6 +399,24 @@ def test_similar_groups_keep_one_of_each(spark, odd, none):
     assert simhash.one_of_each(odd).columns == odd.columns
 
 
+def similar_brute(rows, least=0.8):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    return groups_of(range(len(rows)), lambda a, b: len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+
+
+def test_template_family_keeps_its_true_pairs(spark):
+    """All texts share a passage (about 0.76 to each other); twins (above 0.8) must be found among them."""
+    passage, rows = words(130, 77), []
+    for i in range(150):
+        tail = words(20, 5000 + i).split()
+        rows += [(2 * i, f"{passage} {' '.join(tail)}"), (2 * i + 1, f"{passage} {' '.join(tail[:7])} {words(13, 9000 + i)}")]
+    want = similar_brute(rows)
+    assert len(set(want.values())) == 150
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    lost = [i for i in want if got[i] != want[i]]
+    assert len(lost) <= 3, lost
+
+
 # 10
 
 
