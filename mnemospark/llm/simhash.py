@@ -355,7 +355,18 @@ def near_pairs(nodes: DataFrame, radii: tuple[int, ...] = (3,), split_rows: int
     return out
 
 
-def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], limit: int = FIRST_LIMIT) -> DataFrame:
+def _in_blocks(large: DataFrame, most: int) -> DataFrame:
+    """Rows of large buckets dealt so that any two rows of a bucket meet in a smaller one of about `most` rows.
+
+    The rows of a bucket are cut into blocks of less than most / 2; each pair of blocks is a bucket.
+    """
+    counts = large.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") * 2.2 / most), F.lit(3)).cast("int").alias("blocks"))
+    own = large.join(F.broadcast(counts), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other")
+    return both.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "word", "node", "tag")
+
+
+def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], split_rows: int = SPLIT_ROWS, limit: int = FIRST_LIMIT) -> DataFrame:
     """components of the links that `verify` leaves of candidates (a, b): words of one salt that share a block and are within radii[-1] bits.
 
     The first candidates join the words of each bucket. Words of components of three and more are then searched
@@ -369,7 +380,11 @@ def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         yield crowded
 
     rows = _dealt(nodes.select("node", "word", (F.col("salt") * PATHS).cast("int").alias("tag")), 1).withColumn("tag", F.lit(0).cast("bigint"))
-    found = written(_search(rows, join, 1 << 62, "bigint"), "found0")
+    found = written(_search(rows, join, split_rows, "bigint"), "found0")
+    large = found.where("large")
+    if not large.isEmpty():
+        blocks = written(_search(_in_blocks(large, split_rows), join, 1 << 62, "bigint"), "blocks0")
+        found = found.where("large is null or not large").unionByName(blocks)
     roots = checked = None
     while True:
         pairs = found.where("node is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()

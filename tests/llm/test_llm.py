@@ -417,6 +417,20 @@ def test_template_family_keeps_its_true_pairs(spark):
     assert len(lost) <= 3, lost
 
 
+def test_large_buckets_lose_no_candidates_at_wide_radius(spark):
+    """Words of one bucket, 14 bits apart by pairs and spread over all blocks but the first, are found with and without blocks of rows."""
+    rng, rows, want = np.random.default_rng(8), [], {}
+    for i in range(60):
+        word = (int(rng.integers(0, 2**48)) << 16) | 7
+        twin = word ^ sum(1 << int(b) for b in rng.choice(np.arange(16, 64), 14, replace=False))
+        rows += [(2 * i, 0, simhash._signed(word)), (2 * i + 1, 0, simhash._signed(twin))]
+        want[2 * i + 1] = 2 * i
+    nodes = spark.createDataFrame(rows, "node bigint, salt int, word bigint")
+    for split in (10, 32_768):
+        roots = simhash.verified_roots(nodes, lambda pairs: pairs.where("floor(a / 2) = floor(b / 2)"), (2, 5, 9, 14), split)
+        assert {r.node: r.root for r in roots.collect()} == want
+
+
 # 10
 
 
