@@ -86,11 +86,16 @@ def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, words: int = 1) -> DataFrame:
-    """keep and `fp`, an array of `words` 64-bit fingerprints. A text without words has zeros; null counts as empty."""
+def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
+    """keep and `fp`, an array of `words` 64-bit fingerprints. A text without words has zeros; null counts as empty.
+
+    Repeated shingles count as often as they stand, or once if `distinct`.
+    """
 
     def work(texts: list[str | None]) -> list[pa.Array]:
         each = [shingle_hashes(t, width) for t in texts]
+        if distinct:
+            each = [np.unique(x) for x in each]
         sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         flat = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
         table = np.stack([majority_bits(mixed(flat, w), sizes) for w in range(words)], axis=1) if len(texts) else np.empty((0, words), dtype=np.uint64)
@@ -467,14 +472,14 @@ def jaccard(a: str | None, b: str | None, width: int) -> float:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, words: int = 16, radii: tuple[int, ...] = (2, 5, 9, 14)) -> DataFrame:
     """(id_col, text_key, component) per document: groups joined by links of at least `similarity`.
 
-    Each document gets `words` independent fingerprint words over `width`-word shingles. Pairs that share a block
+    Each document gets `words` independent fingerprint words over its different `width`-word shingles. Pairs that share a block
     of a word and lie within radii[-1] bits of it are candidates (0.99 of the pairs at similarity 0.8, more above);
     a candidate becomes a link if the exact similarity of the whole texts reaches `similarity`. Only candidates
     whose ends are already joined by links go unverified. Texts with the same words are one candidate. component is the smallest id of the group (null if
     all its ids are null). Repeated rows stay; null and empty texts form one group.
     """
     keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
-    prints = written(fingerprints(keyed, "text", [id_col, "text_key"], width, words), "prints")
+    prints = written(fingerprints(keyed, "text", [id_col, "text_key"], width, words, distinct=True), "prints")
     kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"))
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
     nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))

@@ -431,6 +431,17 @@ def test_large_buckets_lose_no_candidates_at_wide_radius(spark):
         assert {r.node: r.root for r in roots.collect()} == want
 
 
+def test_repeated_lines_do_not_hide_copies(spark):
+    rows = []
+    for i in range(12):
+        base, line = words(300, 300 + i), words(14, 800 + i)
+        rows += [(2 * i, f"{base} {line}"), (2 * i + 1, f"{base} {' '.join([line] * 8)}")]
+    want = similar_brute(rows)
+    assert len(set(want.values())) == 12
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+
+
 # 10
 
 
