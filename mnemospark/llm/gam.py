@@ -47,11 +47,11 @@ def features(text: str | None) -> list[float]:
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     n, size = len(words), len(text)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    some = words[:: max(1, n // 400)]
+    kinds = Counter(words)
     count = lambda chars: sum(hist[ord(c)] for c in chars)
     return [
         float(np.log1p(n)), (size - count(BLANKS)) / n, count("#*$%&|<>") / n, count("|") / n, count("!") / n,
-        count(".?") / n, float(((uppers > 1) & (lowers == 0)).mean()), sum(map(bytes.__eq__, words, words[1:])) / n, len(set(words)) / n, max(Counter(some).values()) / len(some),
+        count(".?") / n, float(((uppers > 1) & (lowers == 0)).mean()), sum(map(bytes.__eq__, words, words[1:])) / n, len(kinds) / n, max(kinds.values()) / n,
         1 - len(set(lines)) / len(lines), n / len(lines), count("0123456789") / size, count(",;:-()\"'") / n,
         (len(raw) - size) / size, float(upper[starts].mean()), float((lengths <= 2).mean()), float((lengths > 14).mean()),
         sum(x.rstrip().endswith((b".", b"!", b"?")) for x in lines) / len(lines), (raw.count(b"://") + count("@")) / n,

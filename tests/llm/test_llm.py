@@ -200,6 +200,12 @@ def test_gam_learns_an_interaction_and_scores_by_tables():
     assert np.allclose(flat.score(x[:3]), 0.5)
 
 
+def test_top_word_counts_all_words():
+    top = gam.FEATURES.index("top_word")
+    for text, share in ((" ".join(f"the x{i}" for i in range(800)), 0.5), (" ".join(f"x{i} the" for i in range(800)), 0.5), ("a " * 300 + " ".join(f"y{i}" for i in range(9700)), 0.03)):
+        assert gam.features(text)[top] == share
+
+
 def test_held_out_quality(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
