@@ -8,6 +8,7 @@ the sum of one table entry per feature and per pair.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,9 +23,8 @@ FEATURES = (
     "same_lines", "line_words", "digits", "marks", "not_ascii", "capitals", "short_words", "long_words", "ends", "links",
 )
 
-#: Bounds of the fitted sample: rows, and characters read of each.
+#: Bound of the rows of the fitted sample.
 TRAIN_ROWS = 6_000
-TRAIN_CHARS = 50_000
 
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -164,18 +164,18 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds: i
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, use: Column, rows: int, chars: int, ones: float | None = None) -> list[tuple[object, str, int]]:
-    """At most `rows` labelled documents (id, first chars of the text, label), chosen by a hash of the id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, use: Column, rows: int, work: Callable[[list[str | None]], list[pa.Array]], made: pa.DataType, ddl: str, ones: float | None = None) -> list[tuple[object, object, int]]:
+    """At most `rows` labelled documents (id, what work makes of the whole text, label), chosen by a hash of the id.
 
-    ones is the share of the rows kept for label 1, by default as many as there are. use is a condition on `doc_id`. The ids are few by `rows`, so they may be broadcast.
+    work runs in the executors and makes one array of the type made (ddl). ones is the share of the rows kept for label 1, by default as many as there are. use is a condition on `doc_id`. The ids are few by `rows`, so they may be broadcast.
     """
     picked = labels.select(F.col("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null").where(use)
     picked = picked.groupBy("doc_id").agg(F.max("label").alias("label"))
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = first(picked, rows) if ones is None else first(picked.where("label = 1"), int(rows * ones)).unionByName(first(picked.where("label <> 1"), rows - int(rows * ones)))
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "doc_id")
-    found = found.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text"), "label").dropDuplicates(["doc_id"]).limit(rows)
-    return [(r.doc_id, r.text, int(r.label)) for r in found.collect()]
+    found = map_text(found, "text", work, [("made", made)], f"made {ddl}", ["doc_id", "label"]).dropDuplicates(["doc_id"])
+    return [(r.doc_id, r.made, int(r.label)) for r in found.collect()]
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -183,11 +183,13 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Gam:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Gam:
     """A model fitted on at most `rows` labelled documents outside fold 0 of 5."""
-    sample = labelled(docs, labels, "quality", id_col, text_col, ~held_out(F.col("doc_id"), 5, 0), rows, chars)
+    values = pa.list_(pa.float64())
+    work = lambda texts: [pa.array(matrix(texts).tolist(), values)]
+    sample = labelled(docs, labels, "quality", id_col, text_col, ~held_out(F.col("doc_id"), 5, 0), rows, work, values, "array<double>")
     sample.sort(key=lambda r: r[0])
-    return fit(matrix([t for _, t, _ in sample]), np.array([y for *_, y in sample], dtype=np.float64))
+    return fit(np.array([x for _, x, _ in sample], dtype=np.float64).reshape(len(sample), len(FEATURES)), np.array([y for *_, y in sample], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: Gam, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -35,9 +35,8 @@ WORD = 24
 CODES = 48
 LANDMARKS = 256
 
-#: Bounds of the fitted sample: rows, and characters read of each.
+#: Bound of the rows of the fitted sample.
 TRAIN_ROWS = 6_000
-TRAIN_CHARS = 12_000
 
 _STEPS = [(a, a + b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
 
@@ -244,14 +243,23 @@ def _landmarks(words: list[str], weight: list[float], count: int) -> list[str]:
     return out
 
 
+def word_set(text: str | None) -> list[str]:
+    """The different pieces of words of a text."""
+    return sorted({p for w in tokens(text) for p in pieces(w)})
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 2, most: int = 5_000, seed: int = 3) -> Machine:
     """Trains on labelled texts; without both labels every score is the smoothed share of label 1."""
+    return fit_sets([word_set(t) for t in texts], labels, rounds, most, seed)
+
+
+def fit_sets(sets: list[list[str]], labels: np.ndarray, rounds: int = 2, most: int = 5_000, seed: int = 3) -> Machine:
+    """fit() for the word sets of the texts."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     flat = Machine(np.zeros(CODES**3, dtype=np.float32), 0.0, 1.0, float(-np.log(share / (1 - share))))
     if not labels.sum() or labels.sum() == len(labels):
         return flat
     rng = np.random.default_rng(seed)
-    sets = [sorted({p for w in tokens(t) for p in pieces(w)}) for t in texts]
     families = _families(sets, labels)
     in_toxic, in_clean = Counter(), Counter()
     for words, label in zip(sets, labels, strict=True):
@@ -298,11 +306,13 @@ def _platt(value: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[floa
     return slope, float(-w[1] / slope)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> Machine:
     """A machine fitted on at most `rows` labelled documents outside fold 1 of 3."""
-    sample = labelled(docs, labels, "toxic", id_col, text_col, ~held_out(F.col("doc_id"), 3, 1), rows, chars, ones=0.3)
+    values = pa.list_(pa.string())
+    work = lambda texts: [pa.array([word_set(t) for t in texts], values)]
+    sample = labelled(docs, labels, "toxic", id_col, text_col, ~held_out(F.col("doc_id"), 3, 1), rows, work, values, "array<string>", ones=0.3)
     sample.sort(key=lambda r: r[0])
-    return fit([t for _, t, _ in sample], np.array([y for *_, y in sample], dtype=np.float64))
+    return fit_sets([words for _, words, _ in sample], np.array([y for *_, y in sample], dtype=np.float64))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:

@@ -206,6 +206,18 @@ def test_top_word_counts_all_words():
         assert gam.features(text)[top] == share
 
 
+def test_training_reads_whole_texts(spark):
+    """Label 1 shows only past 60,000 characters."""
+    calm = ["river stone", "green field", "paper cloud"]
+    rows = [(i, f"{calm[i % 3]} {words(20, i)} " + "calm " * 12_500 + ("zorgblat ! ! ! !" * 500 if i % 2 else "calm"), i % 2) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2], r[2]) for r in rows], "doc_id bigint, quality int, toxic int")
+    machine, y = toxicity.train(docs, labels), np.array([r[2] for r in rows])
+    assert ((machine.score(toxicity.Scorer(machine).worst([r[1] for r in rows])) > 0.5) == y).all()
+    model = gam.train(docs, labels)
+    assert ((model.score(gam.matrix([r[1] for r in rows])) > 0.5) == y).all()
+
+
 def test_held_out_quality(spark, odd, none):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
