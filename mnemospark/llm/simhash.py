@@ -29,7 +29,8 @@ BITS = 64
 BLOCKS = 4
 SPLIT_ROWS = 32_768
 FAN = 8
-PAIRS_AT_ONCE = 1 << 15
+#: Pairs of nodes that are opened at once; each opens at most FAN * FAN pairs of children.
+PAIRS_AT_ONCE = 1 << 12
 #: Candidates of a word in a bucket when it is searched again for the first time.
 FIRST_LIMIT = 4
 #: Keys of at most this many rows are broadcast to pick rows with texts; more are joined by shuffling.
@@ -86,25 +87,59 @@ def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, words: int = 1, distinct: bool = False) -> DataFrame:
-    """keep and `fp`, an array of `words` 64-bit fingerprints. A text without words has zeros; null counts as empty.
+def _words_of(each: list[np.ndarray], sizes: np.ndarray, words: int) -> pa.Array:
+    """The fingerprint words of each array of hashes."""
+    flat = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
+    table = np.stack([majority_bits(mixed(flat, w), sizes) for w in range(words)], axis=1) if each else np.empty((0, words), dtype=np.uint64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, words, dtype=np.int32)), pa.array(table.reshape(-1).view(np.int64)))
 
-    Repeated shingles count as often as they stand, or once if `distinct`.
-    """
+
+def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, words: int = 1) -> DataFrame:
+    """keep and `fp`, an array of `words` 64-bit fingerprints. A text without words has zeros; null counts as empty."""
 
     def work(texts: list[str | None]) -> list[pa.Array]:
         each = [shingle_hashes(t, width) for t in texts]
-        if distinct:
-            each = [np.unique(x) for x in each]
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-        flat = np.concatenate(each) if each else np.empty(0, dtype=np.uint64)
-        table = np.stack([majority_bits(mixed(flat, w), sizes) for w in range(words)], axis=1) if len(texts) else np.empty((0, words), dtype=np.uint64)
-        values = pa.array(table.reshape(-1).view(np.int64))
-        return [pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, words, dtype=np.int32)), values)]
+        return [_words_of(each, np.fromiter(map(len, each), dtype=np.int64, count=len(each)), words)]
 
     return map_text(docs, text, work, [("fp", pa.list_(pa.int64()))], "fp array<bigint>", keep)
 
 
+def bitmap(grams: np.ndarray) -> bytes:
+    """A bit for each gram at its lowest bits; a power of two of at least four bits a gram, 64 at least."""
+    size = max(64, 1 << (4 * max(len(grams), 1) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(grams & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_reach(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, similarity: float) -> bool:
+    """Whether sets of n_a and n_b grams with these bitmaps may have that similarity; never False for a pair that has it.
+
+    A bit of one set that the other lacks is at least one gram that the other lacks. The larger bitmap is folded to
+    the size of the smaller, which only sets more bits.
+    """
+    if min(n_a, n_b) < similarity * max(n_a, n_b):
+        return False
+    a, b = np.frombuffer(bits_a, dtype="<u8"), np.frombuffer(bits_b, dtype="<u8")
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x for x in (a, b))
+    both = a & b
+    same = int(np.bitwise_count(both).sum())
+    common = min(n_a - int(np.bitwise_count(a).sum()) + same, n_b - int(np.bitwise_count(b).sum()) + same)
+    return common >= similarity * (n_a + n_b - common)
+
+
+def sketches(docs: DataFrame, text: str, keep: list[str], width: int, words: int) -> DataFrame:
+    """keep, `fp` as in fingerprints over the different shingles, their number `grams` and their `bits`."""
+
+    def work(texts: list[str | None]) -> list[pa.Array]:
+        each = [np.unique(shingle_hashes(t, width)) for t in texts]
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return [_words_of(each, sizes, words), pa.array(sizes.astype(np.int32)), pa.array([bitmap(x) for x in each], pa.binary())]
+
+    return map_text(docs, text, work, [("fp", pa.list_(pa.int64())), ("grams", pa.int32()), ("bits", pa.binary())], "fp array<bigint>, grams int, bits binary", keep)
+
+
 def gray_rank(words: np.ndarray) -> np.ndarray:
     """The place of each word in the Gray sequence."""
     rank = words.copy()
@@ -462,7 +497,11 @@ def component_ids(prints: DataFrame, id_col: str, radius: int = 3) -> DataFrame:
 
 def jaccard(a: str | None, b: str | None, width: int) -> float:
     """Similarity of the shingle sets of two texts; two texts without words are equal."""
-    x, y = np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width))
+    return alike(np.unique(shingle_hashes(a, width)), np.unique(shingle_hashes(b, width)))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> float:
+    """Similarity of two sets of hashes, each sorted; two empty ones are equal."""
     if not len(x) and not len(y):
         return 1.0
     same = len(np.intersect1d(x, y, assume_unique=True))
@@ -474,31 +513,47 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Each document gets `words` independent fingerprint words over its different `width`-word shingles. Pairs that share a block
     of a word and lie within radii[-1] bits of it are candidates (0.99 of the pairs at similarity 0.8, more above);
-    a candidate becomes a link if the exact similarity of the whole texts reaches `similarity`. Only candidates
+    a candidate becomes a link if the exact similarity of the whole texts reaches `similarity`. Bitmaps of the shingles
+    first refuse candidates that cannot reach it (may_reach), so whole shingle sets meet for few pairs. Only candidates
     whose ends are already joined by links go unverified. Texts with the same words are one candidate. component is the smallest id of the group (null if
     all its ids are null). Repeated rows stay; null and empty texts form one group.
     """
-    keyed = docs.select(F.col(id_col), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
-    prints = written(fingerprints(keyed, "text", [id_col, "text_key"], width, words, distinct=True), "prints")
-    kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"))
+    keyed = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"), _text_key(text_col).alias("text_key"))
+    prints = written(sketches(keyed, "text", [id_col, "text_key"], width, words), "prints")
+    kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"), F.first("grams").alias("grams"), F.first("bits").alias("bits"))
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
     nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))
-    texts: list[DataFrame] = []
+    ends: list[DataFrame] = []
+
+    def sets(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())]
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [may_reach(*row, similarity) for row in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            good = np.array([jaccard(x, y, width) >= similarity for x, y in zip(a, b, strict=True)], dtype=bool)
-            yield batch.select([0, 1]).filter(pa.array(good))
+            good = [alike(np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    def sided(pairs: DataFrame, of: DataFrame, *columns: str) -> DataFrame:
+        """pairs with the columns of both their nodes, those of a first."""
+        for end in ("a", "b"):
+            pairs = pairs.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+        return pairs.select("a", "b", *(f"{c}_{end}" for end in ("a", "b") for c in columns))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        if not texts:  # later candidates have no other ends
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            ends = small(written(kinds.join(ends, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id"), "ends"))
-            here = (keyed.text_key == ends.key) & keyed[id_col].eqNullSafe(ends.first_id)
-            texts.append(written(keyed.join(ends, here).select("node", "text"), "texts"))
-        sides = pairs.join(texts[0].select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts[0].select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a bigint, b bigint")
+        if not ends:  # later candidates have no other ends
+            some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            some = written(kinds.join(some, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id", "grams", "bits"), "ends")
+            named = small(some.select("node", "key", "first_id"))
+            here = (keyed.text_key == named.key) & keyed[id_col].eqNullSafe(named.first_id)
+            found = keyed.join(named, here).select("node", "text")
+            ends.extend([some, written(map_text(found, "text", sets, [("set", pa.binary())], "set binary", ["node"]).dropDuplicates(["node"]), "sets")])
+        near = sided(pairs, ends[0], "grams", "bits").mapInArrow(possible, "a bigint, b bigint")
+        return sided(near, ends[1], "set").mapInArrow(check, "a bigint, b bigint")
 
     roots = verified_roots(nodes, verify, radii)
     of = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
@@ -512,10 +567,9 @@ def small(keys: DataFrame) -> DataFrame:
 
 
 def _text_key(text_col: str) -> Column:
-    """A 64-bit key of the words of a text, lower-cased."""
+    """A 128-bit key of the words of a text, lower-cased."""
     lowered = F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "))
-    return F.xxhash64(plain, F.crc32(plain))
+    return F.unhex(F.md5(F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " "))))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:

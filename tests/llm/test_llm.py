@@ -449,6 +449,44 @@ def test_large_buckets_lose_no_candidates_at_wide_radius(spark):
         assert {r.node: r.root for r in roots.collect()} == want
 
 
+@pytest.mark.parametrize("size", [3, 40, 700])
+def test_bitmaps_refuse_no_similar_pair_and_most_others(size):
+    rng, refused, far = np.random.default_rng(size), 0, 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+        keep = a[rng.random(len(a)) < rng.uniform(0.5, 1)]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, size), dtype=np.uint64)]))
+        may, sim = simhash.may_reach(len(a), simhash.bitmap(a), len(b), simhash.bitmap(b), 0.8), simhash.alike(a, b)
+        assert may or sim < 0.8
+        refused, far = refused + (not may), far + (sim < 0.7)
+    assert refused >= 0.9 * far
+
+
+def test_large_family_of_graded_variants_is_grouped_exactly(spark):
+    """400 variants of one text, three to nine words replaced in each: groups by links that pruning must not lose."""
+    rng, base, rows = random.Random(11), words(300, 4242).split(), []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(300), rng.randint(3, 9)):
+            copy[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    want = similar_brute(rows)
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[i] != want[i] for i in want) <= 4 and len(set(got.values())) <= len(set(want.values())) + 4
+
+
+def test_recall_of_all_pairs_of_documents(spark):
+    """Against all pairs of sf0.01 that reach 0.8: at least 0.99 of them end in one group, and no group is too large."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = similar_brute(rows)
+    got = {r.doc_id: r.component for r in simhash.similar_groups(docs).collect()}
+    together = [(a, b) for a, b in combinations(sorted(want), 2) if want[a] == want[b]]
+    joined = sum(got[rows[a][0]] == got[rows[b][0]] for a, b in together)
+    assert len(together) > 20 and joined >= 0.99 * len(together)
+    assert len(set(got.values())) >= len(set(want.values()))
+
+
 def test_repeated_lines_do_not_hide_copies(spark):
     rows = []
     for i in range(12):
