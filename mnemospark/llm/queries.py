@@ -115,14 +115,37 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", gam.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+SAID = "\\### Assistant: </turn> ok"
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7 in budgeted windows, read back from the formatted text."""
-    said = "\\### Assistant: </turn> ok"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(SAID).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.read_back(chat.windows(turns))
 
 
+def _count(column: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({column}, '{pattern}'))"
+
+
+_ROOM = f"greatest(1, ({chat.BUDGET - chat.HISTORY} - coalesce(max(size) filter (is_system) over (partition by conv_id), 0)) // 2)"
+OP10_SQL = f"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7, 0, 'user', '{SAID}'), (-7, 1, 'assistant', '{SAID}')),
+p as (select *, {_count("text", chat.TOKEN)} + {_count("role", chat.TOKEN)} + {chat.TURN_TOKENS} as size, row_number() over (partition by conv_id order by turn nulls first, role, text) as place,
+  {len(chat.OPEN) + len("new ") + len(">") + len(chat.SHUT)} + length(role) + length(text) + {_count("role || text", "[<>" + chr(92) * 2 + "]")} as chars from c),
+s as (select *, coalesce(place = min(place) filter (role = 'system') over (partition by conv_id), false) as is_system from p),
+b as (select *, {_ROOM} as half, coalesce(sum(size) filter (not is_system) over (partition by conv_id order by place rows between unbounded preceding and 1 preceding), 0) as before from s),
+w as (select *, before // half as win from b),
+n as (select conv_id, win, lead(min(before)) over (partition by conv_id order by win) as next_before, max(win) over (partition by conv_id) as last from w group by conv_id, win),
+k as (select w.*, (case when is_system then (select count(*) from n m where m.conv_id is not distinct from w.conv_id and m.win > w.win)
+  when next_before - before <= least({chat.HISTORY}, half) then 1 else 0 end) as copies from w join n on n.conv_id is not distinct from w.conv_id and n.win = w.win)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by place)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by place) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(chars * (1 + copies))::bigint as formatted_chars from k group by conv_id
+"""  # noqa: S608
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline over all documents."""
     import corpus_pipeline
@@ -135,4 +158,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_rules": OP3_SQL, "op4_url_filter": OP4_SQL}
+    return {"op3_rules": OP3_SQL, "op4_url_filter": OP4_SQL, "op10_chat": OP10_SQL}
