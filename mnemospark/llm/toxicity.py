@@ -2,15 +2,21 @@
 
 The kernel compares two words by the letter triples that both contain in order, gaps
 allowed; a triple counts LAMBDA for every letter that it spans, so an insult with added
-or inserted characters still shares most of its triples. Words of labelled sentences
-train the machine: those of clean documents are negative, those of toxic documents are
-positive if they, or the letters they begin with, stand significantly more often in toxic
-documents; the clean words that a first machine finds worst are negatives of the second.
+or inserted characters still shares most of its triples.
+
+Only sentences (documents) are labelled, so training is multiple-instance: every word of a
+clean document is negative, and a word of a toxic document is positive if the machine of
+the round before puts it on the positive side and clean documents rarely hold it. Each
+positive word weighs as many examples as toxic documents hold it. The first round, which
+has no machine yet, takes the words that, or whose beginnings, stand significantly more
+often in toxic documents. The clean words that a round finds worst are among the negatives
+of the next. A document scores by its worst word, and the curve from that value to a score
+is fitted on the documents' labels.
 
 The decision value of a word is a sum over its triples, because every landmark's kernel
 is. The machine's weights are therefore folded into one table by triple, and a word is
 scored by looking up its triples: the same value as from the landmarks, for any number of
-them. A document scores by its worst word.
+them.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_text
+from mnemospark.llm.common import make_room, map_text
 from mnemospark.llm.gam import held_out, labelled
 
 LAMBDA = 0.6
@@ -42,7 +48,10 @@ _STEPS = [(a, a + b) for a in range(1, REACH + 1) for b in range(1, REACH + 1)]
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case words; runs of single characters are one word, as in spelled-out insults."""
+    """Lower-case words; three and more single characters in a row are one word, as in spelled-out insults.
+
+    Single characters that stand alone or in twos are no words: they hold no letter triple.
+    """
     words = (text or "").lower().split()
     if not any(len(w) == 1 for w in words):
         return words
@@ -172,16 +181,17 @@ class Machine:
 
 
 class Scorer:
-    """Scores texts, remembering the values of at most `most` words."""
+    """Scores texts, remembering the values of at most `most` words of `letters` characters in all."""
 
-    def __init__(self, machine: Machine, most: int = 400_000) -> None:
-        self.machine, self.most, self.known = machine, most, {}
+    def __init__(self, machine: Machine, most: int = 400_000, letters: int = 16_000_000) -> None:
+        self.machine, self.most, self.letters, self.known, self.held = machine, most, letters, {}, 0
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
         lists = [tokens(t) for t in texts]
         unseen = list(set().union(*lists).difference(self.known)) if lists else []
-        if len(self.known) + len(unseen) > self.most:
-            self.known, unseen = {}, list(set().union(*lists))
+        if len(self.known) + len(unseen) > self.most or self.held + sum(map(len, unseen)) > self.letters:
+            self.known, self.held, unseen = {}, 0, list(set().union(*lists))
+        self.held += sum(map(len, unseen))
         self.known.update(zip(unseen, self.machine.words(unseen).tolist(), strict=True))
         got = self.known.__getitem__
         return np.array([max(map(got, ws), default=self.machine.offset) for ws in lists], dtype=np.float64)
@@ -248,12 +258,32 @@ def word_set(text: str | None) -> list[str]:
     return sorted({p for w in tokens(text) for p in pieces(w)})
 
 
-def fit(texts: list[str], labels: np.ndarray, rounds: int = 2, most: int = 5_000, seed: int = 3) -> Machine:
+def fit(texts: list[str], labels: np.ndarray, rounds: int = 3, most: int = 5_000, seed: int = 3) -> Machine:
     """Trains on labelled texts; without both labels every score is the smoothed share of label 1."""
     return fit_sets([word_set(t) for t in texts], labels, rounds, most, seed)
 
 
-def fit_sets(sets: list[list[str]], labels: np.ndarray, rounds: int = 2, most: int = 5_000, seed: int = 3) -> Machine:
+def _train(positive: Counter, negative: list[str], passes: int = 15) -> Machine:
+    """A machine of Nystroem landmarks from positive words with their weights and from negative words, folded into a table."""
+    good = sorted(positive, key=lambda w: (-positive[w], w))
+    marks = _landmarks(good, [float(positive[w]) for w in good], LANDMARKS * 2 // 3)
+    marks += _landmarks(negative, [float(-i) for i in range(len(negative))], LANDMARKS - len(marks))
+    landmarks = coded(marks)
+    values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
+    real = values > 1e-8 * max(values.max(), 1e-12)
+    whiten = vectors[:, real] / np.sqrt(values[real])
+    usual = np.array([min(positive[w], 20) for w in good], dtype=np.float64)
+    cost = np.concatenate([10 * usual / usual.mean() * max(1.0, len(negative) / len(good)) ** 0.5, np.full(len(negative), 10.0)])
+    y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
+    weights = svm(kernel(coded([*good, *negative]), landmarks) @ whiten, y, cost, passes)
+    table = np.zeros(CODES**3, dtype=np.float64)
+    for weight, one in zip(whiten @ weights[:-1], maps(landmarks), strict=True):
+        for key, value in one.items():
+            table[key] += weight * value
+    return Machine(table.astype(np.float32), float(weights[-1]), 1.0, 0.0)
+
+
+def fit_sets(sets: list[list[str]], labels: np.ndarray, rounds: int = 3, most: int = 5_000, seed: int = 3) -> Machine:
     """fit() for the word sets of the texts."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     flat = Machine(np.zeros(CODES**3, dtype=np.float32), 0.0, 1.0, float(-np.log(share / (1 - share))))
@@ -264,32 +294,21 @@ def fit_sets(sets: list[list[str]], labels: np.ndarray, rounds: int = 2, most: i
     in_toxic, in_clean = Counter(), Counter()
     for words, label in zip(sets, labels, strict=True):
         (in_toxic if label else in_clean).update(words)
-    evidence = {w: max((families.get(x, 0.0) for x in _stems(w)), default=0.0) for w in in_toxic}
-    positive = [w for w, e in sorted(evidence.items(), key=lambda x: (-x[1], x[0])) if e > 0 and in_clean[w] <= 0.1 * in_toxic[w]][:most]
-    if not positive:
-        return flat
-    clean_words = sorted(set(in_clean) - set(positive))
+    rare = [w for w in sorted(in_toxic) if in_clean[w] <= 0.1 * in_toxic[w]]
+    value_of = {w: max((families.get(x, 0.0) for x in _stems(w)), default=0.0) for w in rare}
     every, hard, machine = sorted(set(in_toxic) | set(in_clean)), [], flat
     for _ in range(rounds):
+        found = sorted((w for w in rare if value_of[w] > 0), key=lambda w: (-value_of[w], w))[:most]
+        if not found:
+            break
+        positive = Counter({w: in_toxic[w] for w in found})
+        clean_words = sorted(set(in_clean) - set(found))
         drawn = [clean_words[i] for i in rng.permutation(len(clean_words))[:most]]
-        negative = list(dict.fromkeys([*hard, *drawn]))
-        words, y = [*positive, *negative], np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
-        marks = _landmarks(positive, [float(in_toxic[w]) for w in positive], LANDMARKS * 2 // 3)
-        marks += _landmarks(negative, [float(-i) for i in range(len(negative))], LANDMARKS - len(marks))
-        landmarks = coded(marks)
-        values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
-        good = values > 1e-8 * max(values.max(), 1e-12)
-        whiten = vectors[:, good] / np.sqrt(values[good])
-        usual = np.array([min(in_toxic[w], 20) for w in positive], dtype=np.float64)
-        cost = np.concatenate([10 * usual / usual.mean() * max(1.0, len(negative) / len(positive)) ** 0.5, np.full(len(negative), 10.0)])
-        weights = svm(kernel(coded(words), landmarks) @ whiten, y, cost)
-        table = np.zeros(CODES**3, dtype=np.float64)
-        for weight, one in zip(whiten @ weights[:-1], maps(landmarks), strict=True):
-            for key, value in one.items():
-                table[key] += weight * value
-        machine = Machine(table.astype(np.float32), float(weights[-1]), 1.0, 0.0)
+        machine = _train(positive, list(dict.fromkeys([*(w for w in hard if w not in positive), *drawn])))
         value_of = dict(zip(every, machine.words(every).tolist(), strict=True))
-        hard = sorted(clean_words, key=lambda w: -value_of[w])[: most // 2]
+        hard = sorted(clean_words, key=lambda w: (-value_of[w], w))[: most // 2]
+    if machine is flat:
+        return flat
     worst = np.array([max((value_of[w] for w in words), default=machine.offset) for words in sets])
     machine.slope, machine.at = _platt(worst, labels)
     return machine
@@ -316,7 +335,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """keep (default: all columns) plus the score (0 to 1) of each whole text; null and empty texts get one too."""
+    """keep (default: all columns) plus the score (0 to 1) of each whole text.
+
+    Null and empty texts get a score too, repeated rows each get theirs, and an empty table gives an empty one. A column
+    of docs that has the score's name is renamed by a leading underscore; so keep must not name it.
+    """
+    docs = make_room(docs, name)
     held: list[Scorer] = []
 
     def work(texts: list[str | None]) -> list[pa.Array]:
