@@ -50,6 +50,15 @@ def spare(df: DataFrame, wish: str) -> str:
     return wish
 
 
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """df with its columns that are named like one of names (Spark ignores case) renamed by leading underscores."""
+    for name in names:
+        for c in df.columns:
+            if c.lower() == name.lower():
+                df = df.withColumnRenamed(c, spare(df, c))
+    return df
+
+
 def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of texts with about SLICE_CHARS characters each."""
     start = size = 0

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import BLANKS, map_text, spare
+from mnemospark.llm.common import BLANKS, make_room, map_text, spare
 
 FEATURES = (
     "log_words", "word_chars", "symbols", "bars", "bangs", "stops", "upper_words", "same_next", "distinct", "top_word",
@@ -167,14 +167,16 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds: i
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, use: Column, rows: int, work: Callable[[list[str | None]], list[pa.Array]], made: pa.DataType, ddl: str, ones: float | None = None) -> list[tuple[object, object, int]]:
     """At most `rows` labelled documents (id, what work makes of the whole text, label), chosen by a hash of the id.
 
-    work runs in the executors and makes one array of the type made (ddl). ones is the share of the rows kept for label 1, by default as many as there are. use is a condition on `doc_id`. The ids are few by `rows`, so they may be broadcast.
+    work runs in the executors and makes one array of the type made (ddl). Of several rows with an id the smallest text
+    counts, and of several labels the largest. ones is the share of the rows kept for label 1, by default as many as there are. use is a condition on `doc_id`. The ids are few by `rows`, so they may be broadcast.
     """
     picked = labels.select(F.col("doc_id"), F.col(label).alias("label")).where("doc_id is not null and label is not null").where(use)
     picked = picked.groupBy("doc_id").agg(F.max("label").alias("label"))
     first = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = first(picked, rows) if ones is None else first(picked.where("label = 1"), int(rows * ones)).unionByName(first(picked.where("label <> 1"), rows - int(rows * ones)))
     found = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(picked), "doc_id")
-    found = map_text(found, "text", work, [("made", made)], f"made {ddl}", ["doc_id", "label"]).dropDuplicates(["doc_id"])
+    found = found.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    found = map_text(found, "text", work, [("made", made)], f"made {ddl}", ["doc_id", "label"])
     return [(r.doc_id, r.made, int(r.label)) for r in found.collect()]
 
 
@@ -193,7 +195,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Gam, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """keep (default: all columns) plus the score (0 to 1) of each whole text; null and empty texts get one too."""
+    """keep (default: all columns) plus the score (0 to 1) of each whole text.
+
+    Null and empty texts get a score too, repeated rows each get theirs, and an empty table gives an empty one. A column
+    of docs that has the score's name is renamed by a leading underscore; so keep must not name it.
+    """
+    docs = make_room(docs, name)
 
     def work(texts: list[str | None]) -> list[pa.Array]:
         return [pa.array(model.score(matrix(texts)))]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import BLANKS, map_text, spare
+from mnemospark.llm.common import BLANKS, make_room, map_text, spare
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -82,8 +82,10 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     """keep (by default all columns) plus MEASURES and `failed`, the bits of the failed rules.
 
     Null and empty texts have zero for every measure and so fail few_words. Columns of docs that are named
-    like a new one must not be in keep. An empty table gives an empty one; repeated rows stay.
+    like a new one are renamed by leading underscores, so keep must not name them. An empty table gives an empty one;
+    repeated rows stay.
     """
+    docs = make_room(docs, *MEASURES, "failed")
     keep = docs.columns if keep is None else keep
 
     def work(texts: list[str | None]) -> list[pa.Array]:

@@ -24,6 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from mnemospark.llm.common import fresh_path, slices
 from mnemospark.llm.tokens import encoder
@@ -31,6 +32,7 @@ from mnemospark.llm.tokens import encoder
 MAGIC = b"MNTOKZ01"
 LEVEL = 3
 DICTIONARY_BYTES = 65_536
+#: Bounds of the sample that the dictionary is trained on; ids do not depend on it.
 SAMPLE_DOCS = 2_000
 SAMPLE_BYTES = 8_192
 CONTAINER_BYTES = 4 << 20
@@ -109,10 +111,12 @@ class Reader:
 
 
 def train_on(docs: DataFrame, tokenizer: str, text_col: str, rows: int, end_id: int) -> Dictionary:
-    """A dictionary from at most SAMPLE_DOCS of about that many documents, SAMPLE_BYTES of ids each."""
-    share = min(1.0, 1.2 * SAMPLE_DOCS / max(rows, 1))
+    """A dictionary from at most SAMPLE_DOCS documents chosen by a hash of their text over all rows, SAMPLE_BYTES of ids each."""
+    share = min(1.0, 1.5 * SAMPLE_DOCS / max(rows, 1))
     tail = int(end_id).to_bytes(4, "little")
-    picked = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.rand(17) < share).limit(SAMPLE_DOCS)
+    drawn = F.xxhash64("text", F.lit(17))
+    picked = docs.select(F.col(f"`{text_col}`").alias("text")).where(F.pmod(drawn, F.lit(1 << 40)) < int(share * (1 << 40)))
+    picked = picked.orderBy(drawn, "text").limit(SAMPLE_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +131,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     """Writes all documents under path and returns the dictionary, which is stored there too.
 
     Rows of path/containers: part, number, first_id, tokens, data. Parts are ascending ranges of ids; a single id
-    with more rows than a part is spread over several.
+    with more rows than a part is spread over several. The format holds ids as 64-bit integers; other ids are refused.
     """
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column: the containers hold 64-bit ids")
     spark = docs.sparkSession
     rows = docs.count()
     dictionary = train_on(docs, tokenizer, text_col, rows, end_id)
@@ -234,7 +240,8 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     """Writes docs to the shared folder and reads them back: doc_id, start, n_tokens, ids_crc32.
 
     A null text counts as empty and is end_id alone. Null ids come first; rows with equal ids follow each other
-    in any order. An empty table gives an empty one. Other columns are not read.
+    in any order. An empty table gives an empty one. Other columns are not read. Ids that are not integers raise
+    ValueError.
     """
     path = fresh_path(docs.sparkSession, "tokens")
     write(docs, tokenizer, path, id_col, text_col, end_id)

@@ -15,6 +15,8 @@ import numpy as np
 _SEPARATOR = "\x01"
 #: Marks that may follow a chunk's last letter.
 _MARKS = b".,!?;:*$%&#"
+#: Bytes of chunks and ids that a process remembers, at most.
+MOST_BYTES = 96 << 20
 _READY: dict[tuple[str, int], ChunkEncoder] = {}
 
 
@@ -34,8 +36,8 @@ def encoder(path: str, max_chunks: int = 600_000) -> ChunkEncoder:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids without special tokens.
 
-    max_chunks bounds the chunks that are remembered; past it the memory is emptied,
-    which costs time and changes no id.
+    max_chunks and MOST_BYTES bound the chunks that are remembered, by number and by size;
+    past either the memory is emptied, which costs time and changes no id.
     """
 
     def __init__(self, path: str, max_chunks: int = 600_000) -> None:
@@ -47,6 +49,7 @@ class ChunkEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._max = max_chunks
         self._known: dict[bytes, bytes] = {}
+        self._held = 0
         ids = lambda text: self._tokenizer.encode(text, add_special_tokens=False).ids
         parts = [ids("a"), ids(_SEPARATOR), ids("b")]
         self._chunked = len(parts[1]) == 1 and ids(f"a {_SEPARATOR} b") == sum(parts, []) and ids("a b") == parts[0] + parts[2] and ids(" \n a\t") == parts[0]
@@ -115,11 +118,14 @@ class ChunkEncoder:
         lists = [(r if b"\xcc" in r or b"\xcd" in r or b"<|" in r else r.lower()).split() for r in raws]
         known = self._known
         unseen = set().union(*lists).difference(known) if lists else set()
-        if len(known) + len(unseen) > self._max:
-            known = self._known = {}
+        size = 5 * sum(map(len, unseen))
+        if len(known) + len(unseen) > self._max or self._held + size > MOST_BYTES:
+            known, self._known, self._held = {}, {}, 0
             unseen = set().union(*lists)
-        if len(unseen) > self._max:
-            known = {}
+            size = 5 * sum(map(len, unseen))
+        if len(unseen) <= self._max and size <= MOST_BYTES:
+            known = self._known
+            self._held += size
         self._learn(list(unseen), known)
         got = known.__getitem__
         return [b"".join(map(got, chunks)) for chunks in lists]
