@@ -1,10 +1,13 @@
 """Best-fit packing with exact-complement hashing.
 
 Packing needs only how many pieces of each length there are. The plan works on that
-table: for the longest length left it looks up one, two or three lengths that fill the
-gap exactly, takes the combination as often as its counts allow, and packs what no
-combination fills by best fit. Pieces then find their place by their rank among the
-pieces of their length, without any of them meeting in one task.
+table. An index by sum lists the single lengths, pairs and triples of lengths that make
+it up; combinations leave the index for good when their counts run out. Each sequence,
+opened by the longest piece left, is first filled exactly: its gap is looked up, and the
+combination is taken as often as its counts allow. What no combination fills goes by best
+fit: a table of open gaps by size gives the smallest gap that holds the piece, and the gap
+that remains is looked up in the index again. Pieces then find their place by their rank
+among the pieces of their length, without any of them meeting in one task.
 """
 
 from __future__ import annotations
@@ -20,71 +23,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemospark.llm.common import slices, spare, written
+from mnemospark.llm.common import slices, written
 from mnemospark.llm.tokens import encoder
 
 #: Rank offsets of at most this many (task, length) groups are broadcast; more are joined by shuffling.
 BROADCAST_GROUPS = 500_000
 
 
-def _pair(free: np.ndarray, gap: int) -> tuple[int, int] | None:
-    """The available pair of lengths that sums to gap, with the longest first length."""
-    a = np.arange(gap - 1, (gap - 1) // 2, -1)
-    good = (free[a] > 0) & (free[gap - a] > 0) & ((2 * a != gap) | (free[a] > 1))
-    at = int(np.argmax(good)) if len(a) else 0
-    return (int(a[at]), gap - int(a[at])) if len(a) and good[at] else None
-
-
-def exact(free: np.ndarray, gap: int) -> list[int] | None:
-    """One, two or three available lengths that sum to gap, or None; no length for gap 0."""
-    if gap == 0:
-        return []
-    if free[gap] > 0:
-        return [gap]
-    if pair := _pair(free, gap):
-        return list(pair)
-    for a in np.flatnonzero(free[: max(gap - 1, 0)])[::-1].tolist():
-        free[a] -= 1
-        pair = _pair(free, gap - a)
-        free[a] += 1
-        if pair:
-            return [a, *pair]
-    return None
-
-
-def plan(counts: np.ndarray, size: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths of one sequence) and how often each is used, covering counts[length] pieces."""
-    free, out = counts.astype(np.int64).copy(), []
-
-    def take(pattern: list[int]) -> None:
-        need = Counter(pattern)
-        times = min(int(free[length]) // n for length, n in need.items())
-        for length, n in need.items():
-            free[length] -= n * times
-        out.append((pattern, times))
+class Sums:
+    """Combinations of one, two or three available lengths by their sum.
 
+    free[length] pieces are available; counts only ever fall, so a combination that was found without pieces is
+    dropped: the place in the list of its sum moves on and never back.
+    """
+
+    def __init__(self, free: list[int]) -> None:
+        self.free, size = free, len(free) - 1
+        lengths = np.flatnonzero(free)[::-1]
+        self.pair_at, self.pair = self._listed(lengths, lengths, size, halves=True)
+        paired = np.flatnonzero(np.diff(self.pair_at))
+        self.triple_at, self.triple = self._listed(lengths, paired, size)
+        self.pair_end, self.triple_end = self.pair_at[1:].tolist(), self.triple_at[1:].tolist()
+        self.pair_at, self.triple_at = self.pair_at[:-1].tolist(), self.triple_at[:-1].tolist()
+
+    @staticmethod
+    def _listed(first: np.ndarray, rest: np.ndarray, size: int, halves: bool = False) -> tuple[np.ndarray, list[int]]:
+        """Bounds by sum, and in them each first part that some rest completes to the sum, the shortest one first."""
+        total = first[:, None] + rest[None, :]
+        good = total <= size
+        if halves:
+            good &= first[:, None] >= rest[None, :]
+        row, column = np.nonzero(good)
+        sums = total[row, column]
+        order = np.lexsort((first[row], sums))
+        return np.concatenate([[0], np.cumsum(np.bincount(sums, minlength=size + 1))]), first[row][order].tolist()
+
+    def two(self, total: int, used: int = 0) -> tuple[int, int] | None:
+        """The available pair with that sum whose lengths differ least, while one piece of length `used` is taken."""
+        free, at, dropping = self.free, self.pair_at[total], True
+        for i in range(at, self.pair_end[total]):
+            a = self.pair[i]
+            b = total - a
+            need = 2 if a == b else 1
+            if free[a] >= need and free[b] >= need:
+                dropping = False
+                if free[a] >= need + (a == used) and free[b] >= need + (b == used):
+                    return a, b
+            elif dropping:
+                self.pair_at[total] = i + 1
+        return None
+
+    def three(self, total: int) -> tuple[int, int, int] | None:
+        """An available triple with that sum."""
+        free = self.free
+        while (i := self.triple_at[total]) < self.triple_end[total]:
+            a = self.triple[i]
+            if free[a] and (rest := self.two(total - a, a)):
+                return (a, *rest)
+            self.triple_at[total] = i + 1
+        return None
+
+    def one(self, total: int) -> tuple[int, ...] | None:
+        """The available length that is the sum; no length for 0."""
+        return () if total == 0 else (total,) if self.free[total] else None
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill the gap exactly, or None; no length for gap 0."""
+        rest = self.one(gap)
+        return rest if rest is not None else self.two(gap) or self.three(gap)
+
+
+class Gaps:
+    """Open sequences by the size of their gap: (pattern, how many) of each size."""
+
+    def __init__(self, size: int) -> None:
+        self.of: list[list[tuple[list[int], int]]] = [[] for _ in range(size + 1)]
+        self.open = np.zeros(size + 1, dtype=bool)
+
+    def add(self, gap: int, pattern: list[int], times: int) -> None:
+        self.of[gap].append((pattern, times))
+        self.open[gap] = True
+
+    def best(self, length: int) -> int | None:
+        """The smallest open gap that holds a piece of that length."""
+        at = int(np.argmax(self.open[length:])) + length
+        return at if self.open[at] else None
+
+    def take(self, gap: int, most: int) -> tuple[list[int], int]:
+        """Up to `most` sequences of one pattern with that gap, which are open no more."""
+        pattern, times = self.of[gap].pop()
+        if times > most:
+            self.of[gap].append((pattern, times - most))
+        self.open[gap] = bool(self.of[gap])
+        return pattern, min(times, most)
+
+
+def plan(counts: np.ndarray, size: int, combine: bool = True) -> list[tuple[list[int], int]]:
+    """Patterns (lengths of one sequence) and how often each is used, covering counts[length] pieces.
+
+    Without `combine` all pieces go by best fit, the longest first.
+    """
+    free = [0, *(int(x) for x in counts[1 : size + 1])]
+    sums, gaps, out = Sums(free) if combine else None, Gaps(size), []
+
+    def fill(pattern: list[int], gap: int, times: int) -> None:
+        """Fills `times` sequences with that gap exactly as far as combinations last; the rest stays open."""
+        while times and sums and (rest := sums.exact(gap)) is not None:
+            need = Counter(rest)
+            n = min([times, *(free[length] // k for length, k in need.items())])
+            for length, k in need.items():
+                free[length] -= n * k
+            out.append(([*pattern, *rest], n))
+            times -= n
+        if times:
+            gaps.add(gap, pattern, times)
+
+    for find in (sums.one, sums.two, sums.three) if sums else ():
+        for length in range(size, 0, -1):
+            while free[length]:
+                free[length] -= 1
+                rest = find(size - length)
+                free[length] += 1
+                if rest is None:
+                    break
+                need = Counter((length, *rest))
+                n = min(free[x] // k for x, k in need.items())
+                for x, k in need.items():
+                    free[x] -= n * k
+                out.append(([length, *rest], n))
     for length in range(size, 0, -1):
-        while free[length] > 0:
-            free[length] -= 1
-            rest = exact(free, size - length)
-            free[length] += 1
-            if rest is None:
-                break
-            take([length, *rest])
-    while free[1:].any():
-        pattern, gap = [], size
-        while True:
-            fits = np.flatnonzero(free[1 : gap + 1]) + 1
-            if not len(fits):
-                break
-            length = int(fits[-1])
-            free[length] -= 1
-            pattern.append(length)
-            gap -= length
-        for length in pattern:
-            free[length] += 1
-        take(pattern)
-    return out
+        while free[length]:
+            gap = gaps.best(length)
+            room = size if gap is None else gap
+            each = min(room // length, free[length])  # what is left of a gap that still holds the piece is the best fit for the next
+            pattern, times = ([], free[length] // each) if gap is None else gaps.take(gap, free[length] // each)
+            free[length] -= each * times
+            fill([*pattern, *[length] * each], room - each * length, times)
+    return out + [one for some in gaps.of for one in some]
 
 
 class Places:
@@ -152,11 +227,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     A document's ids end with end_id (none if None); only documents longer than size are cut. A null text counts as
     empty: it is end_id alone, or no piece where end_id is None. Null ids and repeated rows are packed like any
-    row; an empty table gives an empty one. Other columns are not read.
+    row; an empty table gives an empty one. Other columns are not read. An id column that is named like another column
+    of the result or of the plan (in any case) is called doc_id in the result.
     """
-    if id_col in {"piece", "start", "length", "ids", "task", "rank", "sequence_id", "offset"}:
-        docs = docs.withColumnRenamed(id_col, spare(docs, "doc_id"))
-        id_col = spare(docs, "doc_id") if "doc_id" not in docs.columns else "doc_id"
+    if id_col.lower() in {"piece", "start", "length", "ids", "task", "rank", "sequence_id", "offset", "before", "at"}:
+        docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+        id_col, text_col = "doc_id", "text"
     cut = written(pieces(docs, tokenizer, id_col, text_col, size, end_id), "pieces")
     groups = written(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "groups")
     counts = np.zeros(size + 1, dtype=np.int64)
