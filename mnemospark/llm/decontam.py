@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of MIN_MATCH words that a document shares with a test item are seeds; they are found
-by one rolling hash over a document's words. Around its seeds a document is tiled against
+Runs of MIN_MATCH words that a document shares with a test item (of all words, for a
+shorter item) are seeds; they are found by one rolling hash over a document's words. Around its seeds a document is tiled against
 the item: the longest common runs of unmarked words are found by running Karp-Rabin,
 marked, and searched for again until none of MIN_MATCH words is left. Tiles may stand in
 any order, so the share of the item that they cover also finds reordered passages.
@@ -52,32 +52,62 @@ def _windows(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[i
             yield i - size + 1, value
 
 
+def _same(a: list[int], at_a: int, b: list[int], at_b: int, most: int) -> int:
+    """How many tokens from at_a and at_b on are equal, up to `most`."""
+    n, step = 0, 16
+    while n < most:
+        step = min(step, most - n)
+        if a[at_a + n : at_a + n + step] == b[at_b + n : at_b + n + step]:
+            n, step = n + step, 2 * step
+        elif step == 1:
+            break
+        else:
+            step = max(1, step // 4)
+    return n
+
+
+def _room(free: list[bool]) -> list[int]:
+    """From each place, the number of unmarked tokens in a row."""
+    out, run = [0] * len(free), 0
+    for i in range(len(free) - 1, -1, -1):
+        run = run + 1 if free[i] else 0
+        out[i] = run
+    return out
+
+
 def tiles(item: list[int], runs: list[list[int]], least: int = MIN_MATCH) -> list[tuple[int, int, int, int]]:
     """(length, place in item, run, place in run) of the tiles, longest first in each pass.
 
-    No token of the item or of a run is in two tiles, and no common run of `least` unmarked tokens is left.
+    No token of the item or of a run is in two tiles, and no common run of `least` unmarked tokens is left. A match is
+    only taken up where it begins, so places that an earlier start on the same diagonal has reached are never looked
+    at: the item's windows of one hash are kept by the unmarked token before them (-1: none), and those with the
+    same token before them as the run's window are passed over together.
     """
     free_item, free = [True] * len(item), [[True] * len(r) for r in runs]
     out: list[tuple[int, int, int, int]] = []
     longest_run = max(map(len, runs), default=0)
     size = max(least, min(20, len(item), longest_run))
     while size <= min(len(item), longest_run):
-        places: dict[int, list[int]] = defaultdict(list)
+        places: dict[int, dict[int, list[int]]] = {}
         for at, value in _windows(item, free_item, size):
-            places[value].append(at)
+            places.setdefault(value, {}).setdefault(item[at - 1] if at and free_item[at - 1] else -1, []).append(at)
         found: list[tuple[int, int, int, int]] = []
+        room_item = _room(free_item) if places else []
         for r, run in enumerate(runs if places else []):
-            reach: dict[int, int] = {}
+            room = None
             for at, value in _windows(run, free[r], size):
-                for start in places.get(value, ()):
-                    if reach.get(at - start, -1) >= at:
+                groups = places.get(value)
+                if groups is None:
+                    continue
+                room = room or _room(free[r])
+                before = run[at - 1] if at and free[r][at - 1] else -2
+                for token, starts in groups.items():
+                    if token == before:
                         continue
-                    n = 0
-                    while start + n < len(item) and at + n < len(run) and free_item[start + n] and free[r][at + n] and item[start + n] == run[at + n]:
-                        n += 1
-                    if n >= size:
-                        reach[at - start] = at + n - size
-                        found.append((n, start, r, at))
+                    for start in starts:
+                        n = _same(item, start, run, at, min(room_item[start], room[at]))
+                        if n >= size:
+                            found.append((n, start, r, at))
         longest = max(found, default=(0,))[0]
         if longest > 2 * size:
             size = longest
@@ -85,7 +115,7 @@ def tiles(item: list[int], runs: list[list[int]], least: int = MIN_MATCH) -> lis
         found.sort(key=lambda m: (-m[0], m[1], m[2], m[3]))
         hidden = False
         for n, start, r, at in found:
-            if all(free_item[start : start + n]) and all(free[r][at : at + n]):
+            if free_item[start] and free[r][at] and all(free_item[start : start + n]) and all(free[r][at : at + n]):
                 free_item[start : start + n] = [False] * n
                 free[r][at : at + n] = [False] * n
                 out.append((n, start, r, at))
@@ -101,7 +131,10 @@ def tiles(item: list[int], runs: list[list[int]], least: int = MIN_MATCH) -> lis
 
 
 class Block:
-    """The items of one benchmark block: their words as numbers, and their seeds."""
+    """The items of one benchmark block: their words as numbers, and their seeds.
+
+    A seed of an item has `least` words, or all its words if it has fewer, so a short item must match whole.
+    """
 
     def __init__(self, items: list[tuple[object, str | None]], least: int) -> None:
         self.least = least
@@ -110,27 +143,20 @@ class Block:
         number = self.vocabulary.setdefault
         for item_id, text in items:
             tokens = [number(w, len(self.vocabulary)) for w in words(text)]
-            if len(tokens) >= least:
+            if tokens:
                 self.ids.append(item_id)
                 self.tokens.append(tokens)
-        self.of: dict[int, list[int]] = defaultdict(list)
+        self.of: dict[int, dict[int, list[int]]] = {}
         for i, tokens in enumerate(self.tokens):
-            for seed in dict.fromkeys(self.hashes(np.array(tokens, dtype=np.int64)).tolist()):
-                self.of[seed].append(i)
-        self.seeds = np.array(sorted(self.of), dtype=np.uint64)
-
-    def hashes(self, tokens: np.ndarray) -> np.ndarray:
-        """A hash of each run of `least` tokens."""
-        n = max(len(tokens) - self.least + 1, 0)
-        out, plain = np.zeros(n, dtype=np.uint64), tokens.astype(np.uint64)
-        for j in range(self.least):
-            out = (out ^ (plain[j : j + n] + np.uint64(1))) * _MIX
-            out ^= out >> np.uint64(29)
-        return out
+            size = min(least, len(tokens))
+            some = self.of.setdefault(size, defaultdict(list))
+            for seed in dict.fromkeys(self.hashes_at(np.array(tokens), np.arange(len(tokens) - size + 1), size).tolist()):
+                some[seed].append(i)
+        self.seeds = {size: np.array(sorted(some), dtype=np.uint64) for size, some in self.of.items()}
 
     def leaks(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int]]:
         """(text, item, coverage, tiles) for each text and item of the block that share a seed."""
-        if not len(self.seeds):
+        if not self.seeds:
             return
         get = self.vocabulary.get
         lists = [words(t) for t in texts]
@@ -138,36 +164,43 @@ class Block:
         sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
         flat = np.concatenate([*each, np.full(1, -1)])
         owner = np.repeat(np.arange(len(each)), sizes)
-        n = max(len(flat) - self.least, 0)
+        for size in self.seeds:
+            yield from self._leaks(flat, owner, size)
+
+    def _leaks(self, flat: np.ndarray, owner: np.ndarray, size: int) -> Iterator[tuple[int, int, float, int]]:
+        """leaks() for the items whose seeds have `size` words."""
+        seeds = self.seeds[size]
+        n = max(len(flat) - size, 0)
         whole = np.ones(n, dtype=bool)
-        for j in range(self.least):
+        for j in range(size):
             whole &= flat[j : j + n] >= 0
         at = np.flatnonzero(whole)
-        at = at[owner[at] == owner[at + self.least - 1]] if len(at) else at
+        at = at[owner[at] == owner[at + size - 1]] if len(at) else at
         if not len(at):
             return
-        hashed = self.hashes_at(flat, at)
-        place = np.minimum(np.searchsorted(self.seeds, hashed), len(self.seeds) - 1)
-        hit = self.seeds[place] == hashed
+        hashed = self.hashes_at(flat, at, size)
+        place = np.minimum(np.searchsorted(seeds, hashed), len(seeds) - 1)
+        hit = seeds[place] == hashed
         at, hashed = at[hit], hashed[hit]
         for text in np.unique(owner[at]).tolist():
             here = owner[at] == text if len(at) < 64 else slice(*np.searchsorted(owner[at], [text, text + 1]))
             spots: dict[int, list[int]] = defaultdict(list)
             for p, h in zip(at[here].tolist(), hashed[here].tolist(), strict=True):
-                for item in self.of[h]:
+                for item in self.of[size][h]:
                     spots[item].append(p)
             for item, found in spots.items():
                 runs, last = [], -1
                 for p in found:
                     if p > last:
-                        runs.append([p, p + self.least])
-                    runs[-1][1] = last = p + self.least
-                made = tiles(self.tokens[item], [flat[a:b].tolist() for a, b in runs], self.least)
+                        runs.append([p, p + size])
+                    runs[-1][1] = last = p + size
+                made = tiles(self.tokens[item], [flat[a:b].tolist() for a, b in runs], size)
                 yield text, item, sum(t[0] for t in made) / len(self.tokens[item]), len(made)
 
-    def hashes_at(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def hashes_at(self, flat: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """A hash of the `size` tokens at each place."""
         out = np.zeros(len(at), dtype=np.uint64)
-        for j in range(self.least):
+        for j in range(size):
             out = (out ^ (flat[at + j].astype(np.uint64) + np.uint64(1))) * _MIX
             out ^= out >> np.uint64(29)
         return out
@@ -186,8 +219,8 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int, block
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = MIN_MATCH, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles): documents that hold at least `coverage` of a test item in tiles.
 
-    Null and empty texts leak nothing, and items of fewer than `least` words cannot be found. A null id keeps its
-    row; repeated documents each give their rows, repeated items one. Empty tables give an empty result. Other
+    Null and empty texts leak nothing. An item of fewer than `least` words must stand in a text whole, in order; an item
+    without words cannot be found. A null id keeps its row; repeated documents each give their rows, repeated items one. Empty tables give an empty result. Other
     columns are not read.
     """
     spark, out = docs.sparkSession, None
