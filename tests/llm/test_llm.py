@@ -29,8 +29,8 @@ def odd(spark):
     """Nulls in every column, empty and very long texts, ties, repeated rows and clashing names."""
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(ODD)] + [(100 + i, words(60, i % 4), None, None, None) for i in range(8)]
     rows += [(None, "no id here at all", "en", "s", 1), (None, None, None, None, None), rows[9], rows[9]]
-    names = "doc_id bigint, text string, shard int, Slot int, score double, failed string, component bigint, fp string, own_0 string"
-    return spark.createDataFrame([(a, b, 1, 2, 0.5, c, 7, d, "z") for a, b, c, d, _ in rows], names)
+    names = "doc_id bigint, text string, shard int, Slot int, score double, failed string, component bigint, fp string, own_0 string, _s string, _start int, _c int, N_Words int, cell int, text_key int, node int, made string"
+    return spark.createDataFrame([(a, b, 1, 2, 0.5, c, 7, d, "z", "u", 4, 5, 6, 7, 8, 9, "m") for a, b, c, d, _ in rows], names)
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +86,7 @@ def test_leaks_find_reordered_passages(spark, odd, none):
     passage = words(40, 77).split()
     turned = passage[25:] + ["other"] + passage[:25]
     docs = spark.createDataFrame([(1, " ".join(passage).upper()), (2, words(50, 1) + " " + " ".join(turned)), (3, words(200, 5)), (4, " ".join(passage[:12])), (None, " ".join(passage)), (6, None)], "doc_id bigint, text string")
-    bench = spark.createDataFrame([(9, " ".join(passage)), (9, " ".join(passage)), (8, "too short"), (7, None), (None, words(30, 4))], "item_id bigint, text string")
+    bench = spark.createDataFrame([(9, " ".join(passage)), (9, " ".join(passage)), (8, "not here"), (7, None), (None, words(30, 4))], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.leaks(docs, bench).collect()}
     assert set(got) == {(1, 9), (2, 9), (None, 9)}
     assert got[2, 9].n_tiles == 2 and got[2, 9].coverage == 1.0
@@ -95,6 +95,23 @@ def test_leaks_find_reordered_passages(spark, odd, none):
     assert decontam.leaks(none, bench).isEmpty() and decontam.leaks(docs, spark.createDataFrame([], "item_id bigint, text string")).isEmpty()
 
 
+def test_short_items_must_match_whole(spark):
+    bench = spark.createDataFrame([(1, "zorg"), (2, "alpha beta gamma"), (3, ""), (4, "...")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a Zorg here"), (2, "beta gamma alpha"), (3, "x alpha, beta gamma"), (4, "zor g")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontam.leaks(docs, bench).collect()} == {(1, 1, 1.0), (3, 2, 1.0)}
+
+
+def test_repetition_does_not_cost_the_square():
+    import time
+
+    began = time.perf_counter()
+    made = decontam.tiles([1] * 1200, [[1] * 20_000], 5)
+    assert made == [(1200, 0, 0, 0)] and time.perf_counter() - began < 3
+    period = [1, 2, 3] * 500
+    assert sum(t[0] for t in decontam.tiles(period, [[2, 3, 1] * 3000 + [9]], 5)) == 1500
+    assert time.perf_counter() - began < 6
+
+
 def test_benchmark_blocks_cover_all_items(spark):
     bench = spark.createDataFrame([(i, words(20, i)) for i in range(50)], "item_id bigint, text string")
     made = list(decontam.blocks(bench, "item_id", "text", 5, block_chars=1000))
@@ -113,7 +130,7 @@ def test_communication_matrix_has_exact_sums_and_means():
 
 def test_shards_are_exact_gapless_and_keep_rows(spark, odd, none):
     out = sharding.shard(odd.repartition(3), 4).toPandas()
-    assert sorted(out.columns) == sorted(["doc_id", "text", "_shard", "_Slot", "score", "failed", "component", "fp", "own_0", "shard", "slot"])
+    assert sorted(out.columns) == sorted(["doc_id", "text", "_shard", "_Slot", "score", "failed", "component", "fp", "own_0", "_s", "_start", "_c", "N_Words", "cell", "text_key", "node", "made", "shard", "slot"])
     n = out.groupby("shard").slot.apply(sorted)
     assert all(list(s) == list(range(len(s))) for s in n) and max(map(len, n)) - min(map(len, n)) <= 1
     assert sorted(map(str, out.text)) == sorted(str(r.text) for r in odd.collect())
@@ -122,9 +139,29 @@ def test_shards_are_exact_gapless_and_keep_rows(spark, odd, none):
     assert [r["count"] for r in again] == [200] * 5
 
 
-def test_large_spans_keep_sizes_even():
-    _, sizes = sharding.spans(np.array([400_000_000] * 5), 7)
-    assert len(sizes) > 1 and (sum(sizes) == sharding.even_sizes(2_000_000_000, 7)).all() and all((s >= 0).all() for s in sizes)
+def test_large_tables_are_drawn_by_the_same_law():
+    """Above the bound of numpy's sampler the matrix stays exact, and its entries have the law's mean and variance."""
+    counts, sizes = np.array([800_000_000, 900_000_000, 300_000_000]), sharding.even_sizes(2_000_000_000, 3)
+    rows = np.array([[sharding.matrix_row(counts, sizes, p, seed) for p in range(3)] for seed in range(300)])
+    assert (rows.sum(axis=1) == sizes).all() and (rows.sum(axis=2) == counts).all()
+    n, share = counts.sum(), sizes[0] / counts.sum()
+    sd = np.sqrt(counts * share * (1 - share) * (n - counts) / (n - 1))
+    assert (abs(rows[:, :, 0].mean(axis=0) - counts * share) < 4 * sd / np.sqrt(300)).all()
+    assert (abs(rows[:, :, 0].std(axis=0) / sd - 1) < 0.15).all()
+
+
+def test_own_hypergeometric_sampler_has_the_exact_law():
+    from math import comb
+
+    for good, bad, take in ((30, 50, 20), (5, 400, 60), (300, 200, 450)):
+        low, high = max(0, take - bad), min(good, take)
+        exact = np.array([comb(good, k) * comb(bad, take - k) / comb(good + bad, take) for k in range(low, high + 1)])
+        assert np.allclose([np.exp(sharding.log_pmf(k, good, bad, take)) for k in range(low, high + 1)], exact, rtol=1e-9)
+        rng, seen = np.random.default_rng(1), np.zeros(len(exact))
+        for _ in range(4000):
+            seen[sharding.large_draw(rng, good, bad, take) - low] += 1
+        usual = exact * 4000 >= 5
+        assert (((seen - exact * 4000) ** 2 / (exact * 4000))[usual]).sum() < 2.5 * usual.sum() + 10
 
 
 # 3
@@ -147,6 +184,8 @@ def test_rules_equal_brute_force_and_ablation_adds_up(spark, odd, none, small):
     for r in rules.ablation(rules.ledger(docs, keep=["doc_id"]), rules.STRICT).collect():
         bit = rules.BIT[r.rule]
         assert r.fails == (rows.failed & bit != 0).sum() and r.fails_only == (rows.failed == bit).sum() and r.kept_without == (rows.failed & ~bit == 0).sum()
+    whole = rules.ledger(odd)
+    assert whole.count() == odd.count() and {"_failed", "_N_Words", "failed", "n_words"} <= set(whole.columns)
     assert rules.kept(odd, rules.BASE).columns == odd.columns and rules.kept(none, rules.BASE).isEmpty()
     assert {r.doc_id for r in rules.kept(odd, rules.BASE).collect()} == {100, 101, 102, 103, 104, 105, 106, 107}
 
@@ -225,8 +264,8 @@ def test_held_out_quality(spark, odd, none):
     got = gam.score(docs, model, keep=["doc_id"]).join(labels, "doc_id").toPandas()
     rest = got[[zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]]
     assert ((rest.score >= 0.3) == rest.quality).mean() > 0.97
-    out = gam.score(odd, model, name="new").toPandas()
-    assert len(out) == odd.count() and out.new.between(0, 1).all()
+    out = gam.score(odd, model).toPandas()
+    assert len(out) == odd.count() and out.score.between(0, 1).all() and "_score" in out
     assert gam.good(odd, labels.limit(0)).columns == odd.columns and gam.score(none, model).isEmpty()
 
 
@@ -261,8 +300,8 @@ def test_held_out_toxicity_and_inserted_characters(spark, odd, none):
     assert (got == y[600:].astype(bool)).mean() > 0.98
     odd_forms = [words(40, 5) + " " + w for w in ("mor-on", "idi.ot", "pathe*tic", "worth-less", "m o r o n")]
     assert (machine.score(scorer.worst(odd_forms)) > machine.score(scorer.worst([words(40, 5)]))).all()
-    out = toxicity.score(odd, machine, name="new").toPandas()
-    assert len(out) == odd.count() and out.new.between(0, 1).all() and toxicity.score(none, machine).isEmpty()
+    out = toxicity.score(odd, machine).toPandas()
+    assert len(out) == odd.count() and out.score.between(0, 1).all() and "_score" in out and toxicity.score(none, machine).isEmpty()
 
 
 # 6 and 7
@@ -292,6 +331,75 @@ def test_plan_covers_all_pieces_and_is_nearly_full(shape):
         assert sum(t for _, t in plan) <= 1.02 * lengths.sum() / 256 + 2
 
 
+def test_sums_find_every_combination_and_drop_spent_ones():
+    rng = random.Random(6)
+    for _ in range(60):
+        free = [0] + [rng.choice([0, 0, 0, 1, 2]) for _ in range(30)]
+        sums = packing.Sums(free)
+        for _ in range(40):
+            gap = rng.randint(1, 30)
+            stock = [x for x in range(1, 31) for _ in range(free[x])]
+            made = sums.exact(gap)
+            assert (made is not None) == any(sum(c) == gap for k in (1, 2, 3) for c in combinations(stock, k))
+            if made is not None:
+                assert sum(made) == gap
+                for x in made:
+                    free[x] -= 1
+            assert min(free) >= 0
+
+
+def best_fit(lengths, size):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= x]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else size) - x)
+    return len(gaps)
+
+
+def first_fit(lengths, size):
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        at = next((i for i, g in enumerate(gaps) if g >= x), None)
+        if at is None:
+            gaps.append(size - x)
+        else:
+            gaps[at] -= x
+    return sorted(gaps)
+
+
+def test_residual_is_best_fit_and_not_first_fit():
+    rng, other = np.random.default_rng(4), 0
+    for _ in range(150):
+        lengths = rng.integers(1, 41, rng.integers(1, 60)).tolist()
+        made = packing.plan(np.bincount(lengths, minlength=61), 60, combine=False)
+        assert sum(n for _, n in made) == best_fit(lengths, 60)
+        other += sorted(60 - sum(p) for p, n in made for _ in range(n)) != first_fit(lengths, 60)
+    assert other > 20
+
+
+def test_residual_gaps_are_filled_exactly():
+    """No three pieces fill the gap beside 61; 18 leaves 21 of it, which 9, 7 and 5 fill."""
+    plan = packing.plan(np.bincount([61, 18, 9, 7, 5], minlength=101), 100)
+    assert sorted((sorted(p), n) for p, n in plan) == [([5, 7, 9, 18, 61], 1)]
+
+
+def test_plan_of_real_lengths_is_close_to_the_bound(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    encode = ChunkEncoder(queries.tokenizer_path()).encode
+    sizes = [len(x) // 4 + 1 for x in encode([r.text for r in docs.select("text").collect()])]
+    lengths = [x for n in sizes for x in [2048] * (n // 2048) + [n % 2048] if x]
+    plan = packing.plan(np.bincount(lengths, minlength=2049), 2048)
+    assert sum(n for _, n in plan) <= 1.001 * -(-sum(lengths) // 2048) + 1
+
+
+def test_packing_renames_a_clashing_id(spark):
+    rows = spark.createDataFrame([(1, "a b"), (None, None)], "Piece bigint, text string")
+    out = packing.pack(rows, queries.tokenizer_path(), "Piece", size=8)
+    assert out.columns[:2] == ["doc_id", "piece"] and {r.doc_id for r in out.collect()} == {1, None}
+
+
 def test_packing_equals_plain_tokens(spark, odd, none):
     got = packing.pack(odd, queries.tokenizer_path(), size=64, end_id=0).toPandas()
     want = sorted((str(r.doc_id), plain_ids(r.text) + [0]) for r in odd.collect())
