@@ -215,6 +215,19 @@ def test_urls_equal_brute_force(spark):
         assert got == {i: judged(u, rules_) for i, u in enumerate(made)}
 
 
+def test_urls_with_many_lengths_odd_rows_and_a_listed_set(spark):
+    long = "/" + "p/" * 20_000
+    listed = [("a.com", "/" + "x" * n, "block") for n in range(300)] + [("b.org", long, "block"), ("c.d", "/", "allow"), ("c.d", "/", "block")]
+    made = ["http://a.com/" + "x" * 299, "http://s.a.com/x", "http://b.org" + long + "q", "http://" + "h." * 2000 + "c.d/", "http://e.f/n", "HTTPS://User@WWW.e.f:443//k/?#z", "http://a.com/y", None, ""]
+    pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate([*made, *made])], "page_id bigint, url string, verdict string")
+    blocked = spark.createDataFrame([("http://e.f/k", 1), ("http://a.com/y", 1), (None, 1), ("http://zz/", 1)], "url string, key int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, urls.entries(spark, listed), blocked=blocked).collect()}
+    plain = {i: judged(u, [x for x in listed if x != ("c.d", "/", "block")]) for i, u in enumerate([*made, *made])}
+    hit = {i for i, u in enumerate([*made, *made]) if u and u.startswith("HTTPS")}
+    assert got == {i: (*r[:3], "block") if i in hit else r for i, r in plain.items()}
+    assert urls.judge(pages.limit(0), urls.entries(spark, listed)).isEmpty()
+
+
 def test_bloom_passes_every_key_and_few_others(spark):
     keys = spark.range(2000).selectExpr("concat('k', id) as key")
     blocks = 2000 // urls.KEYS_PER_BLOCK
