@@ -5,15 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words; every other character belongs to a word.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Text handled at once inside a Python worker, in characters.
-SLICE_CHARS = 4_000_000
+#: Text handled at once inside a Python worker, in bytes of UTF-8.
+SLICE_BYTES = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Queries that run inside hand at most `rows` rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spare(df: DataFrame, wish: str) -> str:
     """wish, or wish with underscores until no column of df clashes with it (Spark ignores case)."""
     taken = {c.lower() for c in df.columns}
@@ -59,16 +73,16 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts with about SLICE_CHARS characters each."""
+def slices(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Consecutive runs of texts with about SLICE_BYTES bytes each: their bounds, and the texts as Python strings."""
     start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= SLICE_CHARS:
-            yield start, i + 1
+    for i, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += length
+        if size >= SLICE_BYTES:
+            yield start, i + 1, texts.slice(start, i + 1 - start).to_pylist()
             start, size = i + 1, 0
     if start < len(texts):
-        yield start, len(texts)
+        yield start, len(texts), texts.slice(start).to_pylist()
 
 
 def map_text(df: DataFrame, text: str, work: Callable[[list[str | None]], list[pa.Array]], fields: list[tuple[str, pa.DataType]], schema: str, keep: list[str]) -> DataFrame:
@@ -77,12 +91,11 @@ def map_text(df: DataFrame, text: str, work: Callable[[list[str | None]], list[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi, texts in slices(batch.column(len(kept))):
                 part = batch.slice(lo, hi - lo)
                 columns = [part.column(i) for i in range(len(kept) + (text in keep))]
                 names = [*kept, *([text] if text in keep else [])]
-                made = work(texts[lo:hi])
+                made = work(texts)
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[*names, *(n for n, _ in fields)])
 
     out = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*kept, *([text] if text in keep else [])]), schema])

@@ -233,10 +233,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for lo, hi in slices(texts):
+                for lo, _, texts in slices(batch.column(1)):
                     best: dict[tuple[int, object], tuple[float, int]] = {}
-                    for i, item, share, n in block.leaks(texts[lo:hi]):
+                    for i, item, share, n in block.leaks(texts):
                         key = (lo + i, block.ids[item])
                         if share >= coverage and share > best.get(key, (0.0, 0))[0]:
                             best[key] = (share, n)
@@ -262,10 +261,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
         def run(batches: Iterator[pa.RecordBatch], shared: object = shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
-                texts = batch.column(at).to_pylist()
-                keep = np.ones(len(texts), dtype=bool)
-                for lo, hi in slices(texts):
-                    for i, _, share, _ in block.leaks(texts[lo:hi]):
+                keep = np.ones(batch.num_rows, dtype=bool)
+                for lo, _, texts in slices(batch.column(at)):
+                    for i, _, share, _ in block.leaks(texts):
                         if share >= coverage:
                             keep[lo + i] = False
                 yield batch.filter(pa.array(keep))

@@ -200,10 +200,9 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, task = encoder(tokenizer).encode, Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, _, texts in slices(batch.column(1)):
                 owner, number, ids, rank = [], [], [], []
-                for i, raw in enumerate(encode(texts[lo:hi])):
+                for i, raw in enumerate(encode(texts)):
                     raw += tail
                     for k, at in enumerate(range(0, len(raw), 4 * size)):
                         part = raw[at : at + 4 * size]

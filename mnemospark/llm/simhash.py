@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import map_text, spare, written
+from mnemospark.llm.common import batch_rows, map_text, slices, spare, written
 
 BITS = 64
 BLOCKS = 4
@@ -33,6 +33,10 @@ FAN = 8
 PAIRS_AT_ONCE = 1 << 12
 #: Candidates of a word in a bucket when it is searched again for the first time.
 FIRST_LIMIT = 4
+#: Rows that hold two whole shingle sets are handed to Python by so many at a time.
+ROWS_OF_SETS = 1_000
+#: Bitmaps of at most this size in all are broadcast to the pairs of their nodes; more are joined by shuffling.
+BROADCAST_BYTES = 24 << 20
 #: Keys of at most this many rows are broadcast to pick rows with texts; more are joined by shuffling.
 BROADCAST_KEYS = 500_000
 _LANES = np.uint64(0x0101010101010101)
@@ -525,8 +529,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))
     ends: list[DataFrame] = []
 
-    def sets(texts: list[str | None]) -> list[pa.Array]:
-        return [pa.array([np.unique(shingle_hashes(t, width)).tobytes() for t in texts], pa.binary())]
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sorted shingle hashes of each node, once for all rows of a task that have it."""
+        seen: set[int] = set()
+        for batch in batches:
+            for lo, hi, texts in slices(batch.column(1)):
+                own = batch.column(0).slice(lo, hi - lo).to_pylist()
+                new = {node: text for node, text in zip(own, texts, strict=True) if node not in seen}
+                seen.update(new)
+                for at in range(0, len(new), ROWS_OF_SETS):
+                    some = list(new)[at : at + ROWS_OF_SETS]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([np.unique(shingle_hashes(new[x], width)).tobytes() for x in some], pa.binary())], names=["node", "set"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -551,9 +564,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             named = small(some.select("node", "key", "first_id"))
             here = (keyed.text_key == named.key) & keyed[id_col].eqNullSafe(named.first_id)
             found = keyed.join(named, here).select("node", "text")
-            ends.extend([some, written(map_text(found, "text", sets, [("set", pa.binary())], "set binary", ["node"]).dropDuplicates(["node"]), "sets")])
+            size = some.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+            some = F.broadcast(some) if size <= BROADCAST_BYTES else some
+            ends.extend([some, written(found.mapInArrow(sets, "node bigint, set binary"), "sets")])
         near = sided(pairs, ends[0], "grams", "bits").mapInArrow(possible, "a bigint, b bigint")
-        return sided(near, ends[1], "set").mapInArrow(check, "a bigint, b bigint")
+        links = sided(near, ends[1], "set").mapInArrow(check, "a bigint, b bigint")
+        with batch_rows(docs.sparkSession, ROWS_OF_SETS):
+            return written(links, "links")
 
     roots = verified_roots(nodes, verify, radii)
     of = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")

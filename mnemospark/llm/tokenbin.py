@@ -120,9 +120,8 @@ def train_on(docs: DataFrame, tokenizer: str, text_col: str, rows: int, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for lo, hi in slices(texts):
-                yield pa.RecordBatch.from_arrays([pa.array([(raw + tail)[:SAMPLE_BYTES] for raw in encoder(tokenizer).encode(texts[lo:hi])], pa.binary())], names=["ids"])
+            for _, _, texts in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([(raw + tail)[:SAMPLE_BYTES] for raw in encoder(tokenizer).encode(texts)], pa.binary())], names=["ids"])
 
     return train([bytes(r[0]) for r in picked.mapInArrow(run, "ids binary").collect()])
 
@@ -149,10 +148,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
         encode, zstd = encoder(tokenizer).encode, dictionary.compressor()
         rng = np.random.default_rng(5)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi, texts in slices(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo)
-                raw = [x + tail for x in encode(texts[lo:hi])]
+                raw = [x + tail for x in encode(texts)]
                 known = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 left, right = np.searchsorted(bounds, known, "left"), np.searchsorted(bounds, known, "right")
                 part = np.where(right - left > 1, left + rng.integers(0, np.maximum(right - left, 1)) + 1, left)

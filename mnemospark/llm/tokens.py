@@ -16,7 +16,7 @@ _SEPARATOR = "\x01"
 #: Marks that may follow a chunk's last letter.
 _MARKS = b".,!?;:*$%&#"
 #: Bytes of chunks and ids that a process remembers, at most.
-MOST_BYTES = 96 << 20
+MOST_BYTES = 48 << 20
 _READY: dict[tuple[str, int], ChunkEncoder] = {}
 
 
@@ -25,7 +25,7 @@ def _whole(letter: str) -> bool:
     return letter.isalnum() and letter < "\u0250" and letter != "\u0130"
 
 
-def encoder(path: str, max_chunks: int = 600_000) -> ChunkEncoder:
+def encoder(path: str, max_chunks: int = 300_000) -> ChunkEncoder:
     """The encoder of this Python process for a tokenizer file."""
     key = (path, max_chunks)
     if key not in _READY:
@@ -40,7 +40,7 @@ class ChunkEncoder:
     past either the memory is emptied, which costs time and changes no id.
     """
 
-    def __init__(self, path: str, max_chunks: int = 600_000) -> None:
+    def __init__(self, path: str, max_chunks: int = 300_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
