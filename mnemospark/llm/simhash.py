@@ -32,7 +32,7 @@ FAN = 8
 #: Pairs of nodes that are opened at once; each opens at most FAN * FAN pairs of children.
 PAIRS_AT_ONCE = 1 << 12
 #: Candidates of a word in a bucket when it is searched again for the first time.
-FIRST_LIMIT = 4
+FIRST_LIMIT = 8
 #: Rows that hold two whole shingle sets are handed to Python by so many at a time.
 ROWS_OF_SETS = 1_000
 #: Bitmaps of at most this size in all are broadcast to the pairs of their nodes; more are joined by shuffling.
@@ -109,8 +109,8 @@ def fingerprints(docs: DataFrame, text: str, keep: list[str], width: int = 3, wo
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """A bit for each gram at its lowest bits; a power of two of at least four bits a gram, 64 at least."""
-    size = max(64, 1 << (4 * max(len(grams), 1) - 1).bit_length())
+    """A bit for each gram at its lowest bits; a power of two of at least eight bits a gram, 64 at least."""
+    size = max(64, 1 << (8 * max(len(grams), 1) - 1).bit_length())
     bits = np.zeros(size, dtype=bool)
     bits[(grams & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
@@ -133,6 +133,45 @@ def may_reach(n_a: int, bits_a: bytes, n_b: int, bits_b: bytes, similarity: floa
     return common >= similarity * (n_a + n_b - common)
 
 
+class Bitmaps:
+    """The bitmaps of some rows, for testing many pairs at once."""
+
+    def __init__(self, grams: np.ndarray, bits: np.ndarray) -> None:
+        self.grams, lengths = grams.astype(np.int64), np.fromiter(map(len, bits), dtype=np.int64, count=len(bits))
+        self.sizes, self.kind = np.unique(lengths, return_inverse=True)
+        self.place = np.empty(len(bits), dtype=np.int64)
+        self.ready: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for k, size in enumerate(self.sizes.tolist()):
+            at = np.flatnonzero(self.kind == k)
+            self.place[at] = np.arange(len(at))
+            rows = np.frombuffer(b"".join(bits[at].tolist()), dtype="<u8").reshape(len(at), size // 8)
+            self.ready[k, k] = rows, np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+
+    def _folded(self, kind: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        if (kind, to) not in self.ready:
+            rows = self.ready[kind, kind][0]
+            rows = np.bitwise_or.reduce(rows.reshape(len(rows), -1, int(self.sizes[to]) // 8), axis=1)
+            self.ready[kind, to] = rows, np.bitwise_count(rows).sum(axis=1, dtype=np.int64)
+        return self.ready[kind, to]
+
+    def may_reach(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """may_reach of each pair of rows."""
+        n_a, n_b = self.grams[a], self.grams[b]
+        out = np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b)
+        kinds = self.kind[a] * len(self.sizes) + self.kind[b]
+        for both in np.unique(kinds[out]).tolist():
+            k, j = divmod(both, len(self.sizes))
+            to, some = min(k, j), np.flatnonzero(out & (kinds == both))
+            step = max(1, (1 << 19) // (int(self.sizes[to]) // 8))
+            for at in (some[i : i + step] for i in range(0, len(some), step)):
+                (x, set_x), (y, set_y) = self._folded(k, to), self._folded(j, to)
+                p, q = self.place[a[at]], self.place[b[at]]
+                same = np.bitwise_count(x[p] & y[q]).sum(axis=1, dtype=np.int64)
+                common = np.minimum(n_a[at] - set_x[p], n_b[at] - set_y[q]) + same
+                out[at] = common >= similarity * (n_a[at] + n_b[at] - common)
+        return out
+
+
 def sketches(docs: DataFrame, text: str, keep: list[str], width: int, words: int) -> DataFrame:
     """keep, `fp` as in fingerprints over the different shingles, their number `grams` and their `bits`."""
 
@@ -264,10 +303,10 @@ def _turns(at: np.ndarray) -> np.ndarray:
     return out
 
 
-def apart_pairs(bucket: np.ndarray, words: np.ndarray, roots: np.ndarray, radii: tuple[int, ...], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+def apart_pairs(bucket: np.ndarray, words: np.ndarray, roots: np.ndarray, radii: tuple[int, ...], limit: int, maps: Bitmaps | None = None, similarity: float = 0.0) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
     """Positions of the pairs within radii[-1] bits whose words have different roots, by growing radius.
 
-    A pair is held back if both words already had `limit` pairs. At last come the positions of the words held back.
+    Pairs whose bitmaps cannot reach the similarity are left out. A pair is held back if both words already had `limit` pairs. At last come the positions of the words held back.
     """
     index, had, held, done = _Index(bucket, words), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=bool), -1
     root = roots[index.order]
@@ -275,6 +314,9 @@ def apart_pairs(bucket: np.ndarray, words: np.ndarray, roots: np.ndarray, radii:
         for a, b, differ in index.near(radius, root):
             new = differ.astype(np.int64) > done
             a, b = a[new], b[new]
+            if maps is not None and len(a):
+                new = maps.may_reach(index.order[a], index.order[b], similarity)
+                a, b = a[new], b[new]
             if not len(a):
                 continue
             good = (had[a] + _turns(a) < limit) | (had[b] + _turns(b) < limit)
@@ -324,11 +366,11 @@ def _dealt(rows: DataFrame, level: int) -> DataFrame:
     return out.withColumn("bucket", F.col("tag").cast("long") * (1 << (BITS // BLOCKS)) + value)
 
 
-Find = Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]]
+Find = Callable[..., Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]]
 
 
-def _search(rows: DataFrame, find: Find, most: int, tag: str = "int") -> DataFrame:
-    """Pairs of nodes (a, b) that find(bucket, word, tag) yields, and the rows that come back to be searched again.
+def _search(rows: DataFrame, find: Find, most: int, tag: str = "int", *more: str) -> DataFrame:
+    """Pairs of nodes (a, b) that find(bucket, word, tag, *more) yields, and the rows that come back to be searched again.
 
     Those are the rows of buckets above `most` (large), and the rows that find yields the positions of (not large).
     A task holds a batch and at most `most` rows of the bucket that it ends in.
@@ -337,14 +379,14 @@ def _search(rows: DataFrame, find: Find, most: int, tag: str = "int") -> DataFra
     names = ["a", "b", "bucket", "word", "node", "tag", "large"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, large = [np.empty(0, dtype=t.to_pandas_dtype()) for t in types], None
+        held, large = [np.empty(0, dtype=t.to_pandas_dtype()) for t in types] + [np.empty(0, dtype=object) for _ in more], None
 
         def pairs(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), *(pa.nulls(len(left), t) for t in [*types, pa.bool_()])], names=names)
 
         def again(parts: list[np.ndarray], large: bool) -> pa.RecordBatch:
             none, size = pa.nulls(len(parts[0]), pa.int64()), len(parts[0])
-            return pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in parts), pa.array(np.full(size, large))], names=names)
+            return pa.RecordBatch.from_arrays([none, none, *(pa.array(x) for x in parts[:4]), pa.array(np.full(size, large))], names=names)
 
         def found(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             size = np.diff(np.concatenate([np.flatnonzero(np.concatenate([[True], np.diff(parts[0]) != 0])), [len(parts[0])]]))
@@ -352,7 +394,7 @@ def _search(rows: DataFrame, find: Find, most: int, tag: str = "int") -> DataFra
             if over.any():
                 yield again([x[over] for x in parts], True)
                 parts = [x[~over] for x in parts]
-            for made in find(parts[0], parts[1].view(np.uint64), parts[3]):
+            for made in find(parts[0], parts[1].view(np.uint64), *parts[3:]):
                 if not isinstance(made, tuple):
                     if len(made):
                         yield again([x[made] for x in parts], False)
@@ -360,7 +402,7 @@ def _search(rows: DataFrame, find: Find, most: int, tag: str = "int") -> DataFra
                     yield pairs(parts[2][made[0]], parts[2][made[1]])
 
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
             if large is not None:
                 same = int(np.searchsorted(new[0] != large, True))
                 if same:
@@ -379,7 +421,7 @@ def _search(rows: DataFrame, find: Find, most: int, tag: str = "int") -> DataFra
             yield from found(held)
 
     out = f"a bigint, b bigint, bucket bigint, word bigint, node bigint, tag {tag}, large boolean"
-    return rows.select("bucket", "word", "node", "tag").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
+    return rows.select("bucket", "word", "node", "tag", *more).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, out)
 
 
 def near_pairs(nodes: DataFrame, radii: tuple[int, ...] = (3,), split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -410,12 +452,14 @@ def _in_blocks(large: DataFrame, most: int) -> DataFrame:
     return both.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "word", "node", "tag")
 
 
-def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], split_rows: int = SPLIT_ROWS, limit: int = FIRST_LIMIT) -> DataFrame:
+def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], split_rows: int = SPLIT_ROWS, limit: int = FIRST_LIMIT, maps: Callable[[], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """components of the links that `verify` leaves of candidates (a, b): words of one salt that share a block and are within radii[-1] bits.
 
     The first candidates join the words of each bucket. Words of components of three and more are then searched
     again for candidates between different components of verified links, at most `limit` a word and four times as
-    many each time, until none is held back: any candidate is verified or has both ends in one component.
+    many each time, until none is held back: any candidate is verified or has both ends in one component. With `maps`
+    (node, grams, bits; asked for after the first candidates are verified) this search leaves out pairs that cannot
+    reach the similarity, so refused pairs never leave their task.
     """
 
     def join(bucket: np.ndarray, words: np.ndarray, _: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
@@ -444,8 +488,13 @@ def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         if rest.isEmpty():
             return roots
         rows = rest.join(roots, "node", "left").select("bucket", "word", "node", F.coalesce("root", "node").alias("tag"))
-        apart = lambda bucket, words, root, limit=limit: apart_pairs(bucket, words, root, radii, limit)
-        found = written(_search(rows, apart, 1 << 62, "bigint"), "found")
+
+        def apart(bucket: np.ndarray, words: np.ndarray, root: np.ndarray, *sets: np.ndarray, limit: int = limit) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+            yield from apart_pairs(bucket, words, root, radii, limit, Bitmaps(*sets) if sets else None, similarity)
+
+        more = ("grams", "bits") if maps else ()
+        rows = rows.join(maps(), "node") if maps else rows
+        found = written(_search(rows, apart, 1 << 62, "bigint", *more), "found")
         limit *= 4
 
 
@@ -572,7 +621,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         with batch_rows(docs.sparkSession, ROWS_OF_SETS):
             return written(links, "links")
 
-    roots = verified_roots(nodes, verify, radii)
+    roots = verified_roots(nodes, verify, radii, maps=lambda: ends[0].select("node", "grams", "bits"), similarity=similarity)
     of = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
     named = of.groupBy("root").agg(F.min("first_id").alias("component"))
     return prints.select(id_col, "text_key").join(of.join(named, "root").select("text_key", "component"), "text_key").select(id_col, "text_key", "component")
