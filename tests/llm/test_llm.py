@@ -572,15 +572,18 @@ def test_large_buckets_lose_no_candidates_at_wide_radius(spark):
 
 @pytest.mark.parametrize("size", [3, 40, 700])
 def test_bitmaps_refuse_no_similar_pair_and_most_others(size):
-    rng, refused, far = np.random.default_rng(size), 0, 0
+    rng, refused, far, sets, said = np.random.default_rng(size), 0, 0, [], []
     for _ in range(400):
         a = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
         keep = a[rng.random(len(a)) < rng.uniform(0.5, 1)]
         b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, size), dtype=np.uint64)]))
         may, sim = simhash.may_reach(len(a), simhash.bitmap(a), len(b), simhash.bitmap(b), 0.8), simhash.alike(a, b)
         assert may or sim < 0.8
+        sets, said = [*sets, a, b], [*said, may]
         refused, far = refused + (not may), far + (sim < 0.7)
     assert refused >= 0.9 * far
+    maps = simhash.Bitmaps(np.array(list(map(len, sets))), np.array([simhash.bitmap(x) for x in sets], dtype=object))
+    assert maps.may_reach(np.arange(0, 800, 2), np.arange(1, 800, 2), 0.8).tolist() == said
 
 
 def test_large_family_of_graded_variants_is_grouped_exactly(spark):
