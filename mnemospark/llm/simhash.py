@@ -15,6 +15,7 @@ with 15 open bits cannot hold more than 32,768 different words.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import pairwise
 
 import numpy as np
@@ -35,8 +36,6 @@ PAIRS_AT_ONCE = 1 << 12
 FIRST_LIMIT = 8
 #: Rows that hold two whole shingle sets are handed to Python by so many at a time.
 ROWS_OF_SETS = 1_000
-#: Bitmaps of at most this size in all are broadcast to the pairs of their nodes; more are joined by shuffling.
-BROADCAST_BYTES = 24 << 20
 #: Keys of at most this many rows are broadcast to pick rows with texts; more are joined by shuffling.
 BROADCAST_KEYS = 500_000
 _LANES = np.uint64(0x0101010101010101)
@@ -577,6 +576,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
     nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))
     ends: list[DataFrame] = []
+    whole: list[DataFrame] = []
+    done: list[DataFrame] = []
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The sorted shingle hashes of each node, once for all rows of a task that have it."""
@@ -606,25 +607,43 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             pairs = pairs.join(of.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
         return pairs.select("a", "b", *(f"{c}_{end}" for end in ("a", "b") for c in columns))
 
+    def of(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The rows of these nodes (a written table); few nodes pick them before anything is shuffled."""
+        return rows.join(small(nodes), "node", "left_semi")
+
+    def nodes_of(pairs: DataFrame) -> DataFrame:
+        return written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """The shingle sets of the nodes; the texts are read again only for nodes that have none yet."""
+        new = nodes
+        for known in done:
+            new = new.join(known, "node", "left_anti")
+        new = written(new, "new") if done else nodes
+        if not new.isEmpty():
+            named = small(written(of(ends[0], new).select("node", "key", "first_id"), "named"))
+            here = (keyed.text_key == named.key) & keyed[id_col].eqNullSafe(named.first_id)
+            whole.append(written(keyed.join(named, here).select("node", "text").mapInArrow(sets, "node bigint, set binary"), "sets"))
+            done.append(new)
+        return of(reduce(DataFrame.unionByName, whole), nodes)
+
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
+        some = nodes_of(pairs)
         if not ends:  # later candidates have no other ends
-            some = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            some = written(kinds.join(some, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id", "grams", "bits"), "ends")
-            named = small(some.select("node", "key", "first_id"))
-            here = (keyed.text_key == named.key) & keyed[id_col].eqNullSafe(named.first_id)
-            found = keyed.join(named, here).select("node", "text")
-            size = some.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-            some = F.broadcast(some) if size <= BROADCAST_BYTES else some
-            ends.extend([some, written(found.mapInArrow(sets, "node bigint, set binary"), "sets")])
-        near = sided(pairs, ends[0], "grams", "bits").mapInArrow(possible, "a bigint, b bigint")
-        links = sided(near, ends[1], "set").mapInArrow(check, "a bigint, b bigint")
+            ends.append(written(kinds.join(some, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id", "grams", "bits"), "ends"))
+        near = written(sided(pairs, of(ends[0], some), "grams", "bits").mapInArrow(possible, "a bigint, b bigint"), "possible")
+        if near.isEmpty():
+            return near
+        links = sided(near, sets_of(nodes_of(near)), "set").mapInArrow(check, "a bigint, b bigint")
         with batch_rows(docs.sparkSession, ROWS_OF_SETS):
             return written(links, "links")
 
     roots = verified_roots(nodes, verify, radii, maps=lambda: ends[0].select("node", "grams", "bits"), similarity=similarity)
-    of = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
-    named = of.groupBy("root").agg(F.min("first_id").alias("component"))
-    return prints.select(id_col, "text_key").join(of.join(named, "root").select("text_key", "component"), "text_key").select(id_col, "text_key", "component")
+    rooted = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
+    named = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
+    return prints.select(id_col, "text_key").join(rooted.join(named, "root").select("text_key", "component"), "text_key").select(id_col, "text_key", "component")
 
 
 def small(keys: DataFrame) -> DataFrame:
