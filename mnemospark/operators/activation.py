@@ -163,8 +163,11 @@ def select_landmarks(locations: DataFrame, n: int = 32) -> DataFrame:
 
 
 def id_lookup(locations: DataFrame) -> DataFrame:
-    """(loc_id, idx): the place of each location in id order, ranked inside ranges of ids and shifted by their sizes."""
-    ranges = locations.select("loc_id").repartitionByRange("loc_id").sortWithinPartitions("loc_id").withColumn("at", F.monotonically_increasing_id())
+    """(loc_id, idx): the place of each location in id order, ranked inside ranges of ids and shifted by their sizes.
+
+    The ranges are numbered once and checkpointed: both uses below must see the same bounds.
+    """
+    ranges = locations.select("loc_id").repartitionByRange("loc_id").sortWithinPartitions("loc_id").withColumn("at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("at", 33)
     sizes = ranges.groupBy(part.alias("part")).count()
     before = sizes.select(F.col("part").alias("_part"), (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("_before"))
@@ -184,17 +187,17 @@ def with_neighbors(locations: DataFrame, degree: int = 20, **how: object) -> Dat
     return locations.join(lists.select(F.col("qid").alias("loc_id"), F.transform("l", lambda x: x.loc_id).alias("neighbors")), "loc_id", "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<bigint>")))
 
 
-def graph_activate(queries: DataFrame, locations: DataFrame, k: int = 20, landmarks: int = 32, rounds: int = 12) -> DataFrame:
+def graph_activate(queries: DataFrame, locations: DataFrame, k: int = 20, landmarks: int = 32) -> DataFrame:
     """Approximate activation along neighbour lists: best-first, a frontier of k per round, from the nearest landmark.
 
     Each round is a join of the frontier with the locations; a query stops when a round finds nothing better
-    than its k-th location.
+    than its k-th location. Every location enters a query's best k once at most, so the rounds end by themselves.
     """
     start = activate(queries, select_landmarks(locations, landmarks), 1).select("qid", "query", "loc_id", "sim")
     found, frontier = start, start
     edges = locations.select(F.col("loc_id").alias("from_id"), F.explode("neighbors").alias("loc_id"))
     book = locations.select("loc_id", "address")
-    for _ in range(rounds):
+    while True:
         steps = frontier.select("qid", "query", F.col("loc_id").alias("from_id")).join(edges, "from_id").select("qid", "query", "loc_id").distinct()
         new = steps.join(found.select("qid", "loc_id"), ["qid", "loc_id"], "left_anti").join(book, "loc_id")
         new = new.select("qid", "query", "loc_id", vec.dot(vec.normalize("query"), "address").alias("sim"))

@@ -233,6 +233,30 @@ def test_merging_fixtures(spark):
     assert consolidation.resolved({1: 2, 2: 5, 9: 1}) == {1: 5, 2: 5, 9: 5}
 
 
+def test_neighbor_cap_counts_the_whole_codebook():
+    """1,000 locations, one edge: the cap is (k - 1) * ceil(ln 1000) = 28, not that of the two that merge."""
+    rows = pd.DataFrame([(i, [1.0, 0.0], [1.0, 0.0], 1.0, list(range(10 + i, 70 + i)), 0.0) for i in (1, 2)], columns=["loc_id", "address", "counter", "write_count", "neighbors", "surprise_mass"])
+    config = MemoryConfig(2, k=5)
+    assert config.neighbor_cap
+    left, gone = consolidation._fold(rows, [(1, 2, 0.99)], config, 1000)
+    assert gone == {2: 1} and len(left.neighbors[0]) == 28
+
+
+def test_connected_labels_each_component_by_its_least(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, 103), (103, 101), (7, 7), (200, 200)]
+    got = {r.loc_id: r.g for r in consolidation.connected(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 103: 100, 200: 200}
+    assert consolidation.connected(spark.createDataFrame([], "a bigint, b bigint")).isEmpty()
+
+
+def test_graph_search_follows_a_long_chain_to_its_end(spark):
+    """Each location knows only the next one, 30 steps along a quarter circle; a search from the far end must walk all."""
+    at = np.linspace(0, np.pi / 2, 31)
+    book = book_of(spark, np.stack([np.cos(at), np.sin(at)], axis=1), count=[100] + [1] * 30).withColumn("neighbors", F.array(F.col("loc_id") + 1))
+    found = activation.graph_activate(asks_of(spark, [[0.0, 1.0]]), book, 1, landmarks=1).collect()
+    assert [r.loc_id for r in found] == [30]
+
+
 def test_compression_finds_three_clusters(spark):
     rows = []
     for axis in (0, 4, 8):
