@@ -38,6 +38,8 @@ SAMPLE_BYTES = 8_192
 CONTAINER_BYTES = 4 << 20
 DOCS_PER_PART = 4_096
 MOST_PARTS = 20_000
+#: Chunks of text that a Python worker remembers while it encodes.
+CHUNKS = 600_000
 
 
 @dataclass(frozen=True)
@@ -121,7 +123,7 @@ def train_on(docs: DataFrame, tokenizer: str, text_col: str, rows: int, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in slices(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([(raw + tail)[:SAMPLE_BYTES] for raw in encoder(tokenizer).encode(texts)], pa.binary())], names=["ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([(raw + tail)[:SAMPLE_BYTES] for raw in encoder(tokenizer, CHUNKS).encode(texts)], pa.binary())], names=["ids"])
 
     return train([bytes(r[0]) for r in picked.mapInArrow(run, "ids binary").collect()])
 
@@ -145,7 +147,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", te
     tail = int(end_id).to_bytes(4, "little")
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, zstd = encoder(tokenizer).encode, dictionary.compressor()
+        encode, zstd = encoder(tokenizer, CHUNKS).encode, dictionary.compressor()
         rng = np.random.default_rng(5)
         for batch in batches:
             for lo, hi, texts in slices(batch.column(1)):
