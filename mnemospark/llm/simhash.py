@@ -33,7 +33,7 @@ FAN = 8
 #: Pairs of nodes that are opened at once; each opens at most FAN * FAN pairs of children.
 PAIRS_AT_ONCE = 1 << 12
 #: Candidates of a word in a bucket when it is searched again for the first time.
-FIRST_LIMIT = 8
+FIRST_LIMIT = 4
 #: Rows that hold two whole shingle sets are handed to Python by so many at a time.
 ROWS_OF_SETS = 1_000
 #: Keys of at most this many rows are broadcast to pick rows with texts; more are joined by shuffling.
@@ -193,8 +193,8 @@ def gray_rank(words: np.ndarray) -> np.ndarray:
 class _Forest:
     """Components of the words in one sorted block of buckets, and the pairs that joined them."""
 
-    def __init__(self, size: int) -> None:
-        self.root = np.arange(size)
+    def __init__(self, root: np.ndarray) -> None:
+        self.root = root
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
 
@@ -269,18 +269,29 @@ class _Index:
                 stack += [(below, ca[i : i + PAIRS_AT_ONCE], cb[i : i + PAIRS_AT_ONCE]) for i in range(0, len(ca), PAIRS_AT_ONCE)]
 
 
-def forest_pairs(bucket: np.ndarray, words: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _first_places(values: np.ndarray) -> np.ndarray:
+    """The place where each value stands first."""
+    _, first, of = np.unique(values, return_index=True, return_inverse=True)
+    return first[of]
+
+
+def forest_pairs(bucket: np.ndarray, words: np.ndarray, radii: tuple[int, ...], roots: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of pairs as in linked_pairs, and of the words in components of three and more.
 
-    Any pair within radii[-1] that is not among the pairs has both its words in such a component.
+    With roots only words of different roots are joined, and components of one root are left out. Any pair within
+    radii[-1] (of different roots) that is not among the pairs has both its words in such a component.
     """
-    index, forest = _Index(bucket, words), _Forest(len(words))
+    index = _Index(bucket, words)
+    known = np.arange(len(words)) if roots is None else _first_places(roots[index.order])
+    forest = _Forest(known.copy())
     for radius in radii:
-        for a, b, _ in index.near(radius, forest.root, radius == radii[0]):
+        for a, b, _ in index.near(radius, forest.root, roots is None and radius == radii[0]):
             forest.join(a, b)
     if not forest.left:
         return (np.empty(0, dtype=np.int64),) * 3
-    crowded = np.bincount(forest.root, minlength=len(words))[forest.root] > 2
+    joined = np.zeros(len(words), dtype=bool)
+    joined[forest.root[np.concatenate(forest.left)]] = True
+    crowded = (np.bincount(forest.root, minlength=len(words)) > 2)[forest.root] & joined[forest.root]
     return index.order[np.concatenate(forest.left)], index.order[np.concatenate(forest.right)], index.order[crowded]
 
 
@@ -349,15 +360,15 @@ PATHS = BLOCKS**5
 ROW = "node bigint, word bigint, tag int"
 
 
-def _dealt(rows: DataFrame, level: int) -> DataFrame:
-    """Rows (node, word, tag) once for each of the four blocks below their path, with their bucket.
+def _dealt(rows: DataFrame, level: int, *more: str) -> DataFrame:
+    """Rows (node, word, tag and more) once for each of the four blocks below their path, with their bucket.
 
     A bucket of the first level is its tag and the 16 bits of the block; deeper ones are hashed.
     """
     masks = F.array(*[F.lit(_signed(m)) for m in block_masks(level)])
     path = F.col("tag") % PATHS
     tags = F.array(*[(F.col("tag") - path + path * BLOCKS + i).cast("int") for i in range(BLOCKS)])
-    out = rows.select("node", "word", F.explode(tags).alias("tag"))
+    out = rows.select("node", "word", F.explode(tags).alias("tag"), *more)
     same = F.col("word").bitwiseAND(F.element_at(masks, F.col("tag") % PATHS + 1))
     if level > 1:
         return out.withColumn("bucket", F.xxhash64("tag", same))
@@ -451,14 +462,21 @@ def _in_blocks(large: DataFrame, most: int) -> DataFrame:
     return both.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "word", "node", "tag")
 
 
-def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], split_rows: int = SPLIT_ROWS, limit: int = FIRST_LIMIT, maps: Callable[[], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
+def _of_several(rows: DataFrame) -> DataFrame:
+    """The rows (bucket, word, node, tag) of buckets with more than one tag."""
+    several = rows.groupBy("bucket").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high").select("bucket")
+    return rows.join(several, "bucket", "left_semi")
+
+
+def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], radii: tuple[int, ...], split_rows: int = SPLIT_ROWS, limit: int = FIRST_LIMIT, maps: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0) -> DataFrame:
     """components of the links that `verify` leaves of candidates (a, b): words of one salt that share a block and are within radii[-1] bits.
 
-    The first candidates join the words of each bucket. Words of components of three and more are then searched
-    again for candidates between different components of verified links, at most `limit` a word and four times as
-    many each time, until none is held back: any candidate is verified or has both ends in one component. With `maps`
-    (node, grams, bits; asked for after the first candidates are verified) this search leaves out pairs that cannot
-    reach the similarity, so refused pairs never leave their task.
+    The words of salt 0 come first: candidates that join the words of each bucket are verified. Words of components of
+    three and more are searched again for candidates between different components of verified links, at most `limit`
+    a word and eight times as many each time, until none is held back. The other salts then join words only across the
+    components found, pass on at once the pairs that stand alone, and search again likewise: any candidate is verified
+    or has both ends in one component. With `maps` (node, grams, bits of a table of nodes) this search leaves out pairs that cannot reach
+    the similarity, so refused pairs never leave their task.
     """
 
     def join(bucket: np.ndarray, words: np.ndarray, _: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
@@ -466,35 +484,65 @@ def verified_roots(nodes: DataFrame, verify: Callable[[DataFrame], DataFrame], r
         yield left, right
         yield crowded
 
-    rows = _dealt(nodes.select("node", "word", (F.col("salt") * PATHS).cast("int").alias("tag")), 1).withColumn("tag", F.lit(0).cast("bigint"))
-    found = written(_search(rows, join, split_rows, "bigint"), "found0")
-    large = found.where("large")
-    if not large.isEmpty():
-        blocks = written(_search(_in_blocks(large, split_rows), join, 1 << 62, "bigint"), "blocks0")
-        found = found.where("large is null or not large").unionByName(blocks)
+    def across(bucket: np.ndarray, words: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+        left, right, crowded = forest_pairs(bucket, words, radii, root)
+        alone = ~np.isin(left, crowded)
+        yield left[alone], right[alone]
+        yield crowded
+
+    def first(rows: DataFrame, find: Find, name: str) -> DataFrame:
+        found = written(_search(rows, find, split_rows, "bigint"), name)
+        large = found.where("large")
+        if large.isEmpty():
+            return found
+        blocks = written(_search(_in_blocks(large, split_rows), find, 1 << 62, "bigint"), f"{name}blocks")
+        return found.where("large is null or not large").unionByName(blocks)
+
     roots = checked = None
-    while True:
+
+    def verified(found: DataFrame) -> None:
+        nonlocal roots, checked
         pairs = found.where("node is null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         if checked is not None:
             pairs = pairs.join(checked, ["a", "b"], "left_anti")
         pairs = written(pairs, "candidates")
         checked = pairs if checked is None else checked.unionByName(pairs)
         links = verify(pairs)
+        if roots is not None and links.isEmpty():
+            return
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = components(links)
-        rest = found.where("node is not null").select("bucket", "word", "node")
-        if rest.isEmpty():
-            return roots
-        rows = rest.join(roots, "node", "left").select("bucket", "word", "node", F.coalesce("root", "node").alias("tag"))
 
-        def apart(bucket: np.ndarray, words: np.ndarray, root: np.ndarray, *sets: np.ndarray, limit: int = limit) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
-            yield from apart_pairs(bucket, words, root, radii, limit, Bitmaps(*sets) if sets else None, similarity)
+    def rooted(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "node", "left").withColumn("own", F.coalesce("root", "node")).drop("root")
+
+    def again(found: DataFrame) -> DataFrame:
+        return found.where("node is not null").select("bucket", "word", "node")
+
+    def search_again(rest: DataFrame, limit: int) -> None:
+        while not rest.isEmpty():
+            rows = written(_of_several(rooted(rest).select("bucket", "word", "node", F.col("own").alias("tag"))), "rest")
 
-        more = ("grams", "bits") if maps else ()
-        rows = rows.join(maps(), "node") if maps else rows
-        found = written(_search(rows, apart, 1 << 62, "bigint", *more), "found")
-        limit *= 4
+            def apart(bucket: np.ndarray, words: np.ndarray, root: np.ndarray, *sets: np.ndarray, limit: int = limit) -> Iterator[tuple[np.ndarray, np.ndarray] | np.ndarray]:
+                yield from apart_pairs(bucket, words, root, radii, limit, Bitmaps(*sets) if sets else None, similarity)
+
+            more = ("grams", "bits") if maps else ()
+            rows = rows.join(maps(written(rows.select("node").distinct(), "nodes")), "node") if maps else rows
+            found = written(_search(rows, apart, 1 << 62, "bigint", *more), "found")
+            verified(found)
+            rest = again(found)
+            limit *= 8
+
+    tag = (F.col("salt") * PATHS).cast("int").alias("tag")
+    found = first(_dealt(nodes.where("salt = 0").select("node", "word", tag), 1).withColumn("tag", F.lit(0).cast("bigint")), join, "found0")
+    verified(found)
+    search_again(again(found), limit)
+    others = rooted(nodes.where("salt > 0")).select("node", "word", tag, "own")
+    found = first(_dealt(others, 1, "own").withColumn("tag", F.col("own")).drop("own"), across, "found1")
+    verified(found)
+    search_again(again(found), limit)
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -575,7 +623,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"), F.first("grams").alias("grams"), F.first("bits").alias("bits"))
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
     nodes = kinds.select("node", F.posexplode("fp").alias("salt", "word"))
-    ends: list[DataFrame] = []
     whole: list[DataFrame] = []
     done: list[DataFrame] = []
 
@@ -621,26 +668,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             new = new.join(known, "node", "left_anti")
         new = written(new, "new") if done else nodes
         if not new.isEmpty():
-            named = small(written(of(ends[0], new).select("node", "key", "first_id"), "named"))
+            named = small(written(of(kinds.select("node", F.col("text_key").alias("key"), "first_id"), new), "named"))
             here = (keyed.text_key == named.key) & keyed[id_col].eqNullSafe(named.first_id)
             whole.append(written(keyed.join(named, here).select("node", "text").mapInArrow(sets, "node bigint, set binary"), "sets"))
             done.append(new)
         return of(reduce(DataFrame.unionByName, whole), nodes)
 
+    def maps(nodes: DataFrame) -> DataFrame:
+        return of(kinds.select("node", "grams", "bits"), nodes)
+
     def verify(pairs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return pairs
         some = nodes_of(pairs)
-        if not ends:  # later candidates have no other ends
-            ends.append(written(kinds.join(some, "node", "left_semi").select("node", F.col("text_key").alias("key"), "first_id", "grams", "bits"), "ends"))
-        near = written(sided(pairs, of(ends[0], some), "grams", "bits").mapInArrow(possible, "a bigint, b bigint"), "possible")
+        near = written(sided(pairs, maps(some), "grams", "bits").mapInArrow(possible, "a bigint, b bigint"), "possible")
         if near.isEmpty():
             return near
         links = sided(near, sets_of(nodes_of(near)), "set").mapInArrow(check, "a bigint, b bigint")
         with batch_rows(docs.sparkSession, ROWS_OF_SETS):
             return written(links, "links")
 
-    roots = verified_roots(nodes, verify, radii, maps=lambda: ends[0].select("node", "grams", "bits"), similarity=similarity)
+    roots = verified_roots(nodes, verify, radii, maps=maps, similarity=similarity)
     rooted = written(kinds.select("text_key", "first_id", "node").join(roots, "node", "left").select("text_key", "first_id", F.coalesce("root", "node").alias("root")), "roots")
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     return prints.select(id_col, "text_key").join(rooted.join(named, "root").select("text_key", "component"), "text_key").select(id_col, "text_key", "component")
