@@ -611,6 +611,22 @@ def test_recall_of_all_pairs_of_documents(spark):
     assert len(set(got.values())) >= len(set(want.values()))
 
 
+def test_forest_pairs_join_words_only_across_roots():
+    """Whatever pair of different roots within the radius is no pair of the forest has both words among the crowded."""
+    rng = np.random.default_rng(21)
+    centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    flips = np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(120)], dtype=np.uint64)
+    w, bucket = centres[rng.integers(0, 12, 120)] ^ flips, rng.integers(0, 2, 120)
+    roots = rng.integers(0, 30, 120) * 1000
+    left, right, crowded = simhash.forest_pairs(bucket, w, (2, 8), roots)
+    pairs, some = {frozenset(p) for p in zip(left.tolist(), right.tolist(), strict=True)}, set(crowded.tolist())
+    near = {frozenset((i, j)) for i, j in combinations(range(120), 2) if bucket[i] == bucket[j] and int(w[i] ^ w[j]).bit_count() <= 8}
+    across = {p for p in near if len({int(roots[i]) for i in p}) == 2}
+    assert pairs and pairs < across and all(p in pairs or p <= some for p in across)
+    one = simhash.forest_pairs(bucket, w, (2, 8), np.zeros(120, dtype=np.int64))
+    assert not any(len(x) for x in one)
+
+
 def test_repeated_lines_do_not_hide_copies(spark):
     rows = []
     for i in range(12):
