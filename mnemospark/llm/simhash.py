@@ -618,7 +618,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whose ends are already joined by links go unverified. Texts with the same words are one candidate. component is the smallest id of the group (null if
     all its ids are null). Repeated rows stay; null and empty texts form one group.
     """
-    keyed = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"), _text_key(text_col).alias("text_key"))
+    plain = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias("text"))
+    keyed = plain.withColumn("text_key", _text_key("text"))
     prints = written(sketches(keyed, "text", [id_col, "text_key"], width, words), "prints")
     kinds = prints.groupBy("text_key").agg(F.min(id_col).alias("first_id"), F.first("fp").alias("fp"), F.first("grams").alias("grams"), F.first("bits").alias("bits"))
     kinds = written(kinds.withColumn("node", F.monotonically_increasing_id()), "kinds")
@@ -669,8 +670,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new = written(new, "new") if done else nodes
         if not new.isEmpty():
             named = small(written(of(kinds.select("node", F.col("text_key").alias("key"), "first_id"), new), "named"))
-            here = (keyed.text_key == named.key) & keyed[id_col].eqNullSafe(named.first_id)
-            whole.append(written(keyed.join(named, here).select("node", "text").mapInArrow(sets, "node bigint, set binary"), "sets"))
+            owners = named.select(F.col("first_id").alias("owner"))
+            some = plain.join(owners, plain[id_col].eqNullSafe(owners.owner), "left_semi").withColumn("text_key", _text_key("text"))  # keys of few texts only
+            here = (some.text_key == named.key) & some[id_col].eqNullSafe(named.first_id)
+            whole.append(written(some.join(named, here).select("node", "text").mapInArrow(sets, "node bigint, set binary"), "sets"))
             done.append(new)
         return of(reduce(DataFrame.unionByName, whole), nodes)
 
