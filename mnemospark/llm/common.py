@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -73,12 +75,21 @@ def make_room(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int, list[str | None]]]:
-    """Consecutive runs of texts with about SLICE_BYTES bytes each: their bounds, and the texts as Python strings."""
+def trim() -> None:
+    """Gives memory that this Python process has freed back to the system; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back:
+        give_back(0)
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Consecutive runs of texts with about `most` bytes each: their bounds, and the texts as Python strings."""
     start = size = 0
     for i, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
         size += length
-        if size >= SLICE_BYTES:
+        if size >= most:
             yield start, i + 1, texts.slice(start, i + 1 - start).to_pylist()
             start, size = i + 1, 0
     if start < len(texts):

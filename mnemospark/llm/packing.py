@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mnemospark.llm.common import slices, written
-from mnemospark.llm.tokens import encoder
+from mnemospark.llm.common import batch_rows, slices, trim, written
+from mnemospark.llm.tokens import encoder, forget
 
 #: Rank offsets of at most this many (task, length) groups are broadcast; more are joined by shuffling.
 BROADCAST_GROUPS = 500_000
+#: Documents that are handed to Python at once, and bytes of text that are cut into words at once.
+BATCH_ROWS, ENCODE_BYTES = 2_000, 1_000_000
 
 
 class Sums:
@@ -198,9 +200,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, size: in
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         encode, seen, task = encoder(tokenizer).encode, Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            for lo, _, texts in slices(batch.column(1)):
+            for lo, _, texts in slices(batch.column(1), ENCODE_BYTES):
                 owner, number, ids, rank = [], [], [], []
                 for i, raw in enumerate(encode(texts)):
                     raw += tail
@@ -232,7 +235,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     if id_col.lower() in {"piece", "start", "length", "ids", "task", "rank", "sequence_id", "offset", "before", "at"}:
         docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
         id_col, text_col = "doc_id", "text"
-    cut = written(pieces(docs, tokenizer, id_col, text_col, size, end_id), "pieces")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        cut = written(pieces(docs, tokenizer, id_col, text_col, size, end_id), "pieces")
     groups = written(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "groups")
     counts = np.zeros(size + 1, dtype=np.int64)
     for row in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
@@ -244,6 +248,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        forget()
         sequence, offset = places.of(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": sequence, "offset": offset})
 

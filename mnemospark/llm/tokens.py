@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from mnemospark.llm.common import trim
+
 _SEPARATOR = "\x01"
 #: Marks that may follow a chunk's last letter.
 _MARKS = b".,!?;:*$%&#"
@@ -33,6 +35,13 @@ def encoder(path: str, max_chunks: int = 300_000) -> ChunkEncoder:
     return _READY[key]
 
 
+def forget() -> None:
+    """Drops the encoders of this Python process, for stages that follow and encode nothing."""
+    if _READY:
+        _READY.clear()
+        trim()
+
+
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids without special tokens.
 

@@ -699,3 +699,18 @@ def test_pipeline_stages(spark, small):
     want = {(d, k): crc((plain_ids(t) + [0])[k * 2048 : (k + 1) * 2048]) for d, t in rows for k in range(-(-(len(plain_ids(t)) + 1) // 2048))}
     assert {(r.doc_id, r.piece): r.ids_crc32 for r in got.itertuples()} == want
     assert (got.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_packing_cuts_text_in_small_slices_and_frees_the_encoder():
+    """Memory of a worker in the packing stages: text by megabyte, and no encoder once all pieces are made."""
+    import pyarrow as pa
+
+    from mnemospark.llm import common, packing, tokens
+
+    texts = ["a" * 300] * 10 + [None, "b" * 5000]
+    runs = list(common.slices(pa.array(texts), 1000))
+    assert [t for _, _, part in runs for t in part] == texts and max(hi - lo for lo, hi, _ in runs) == 4
+    assert packing.ENCODE_BYTES < common.SLICE_BYTES and packing.BATCH_ROWS < 10_000
+    tokens._READY[("x", 1)] = None
+    tokens.forget()
+    assert not tokens._READY
